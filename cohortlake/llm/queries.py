@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import components, percentiles, splits
+from cohortlake.llm import components, mapping, percentiles, splits
 
 QUERIES = {
+    "p1_found": mapping.p1_found,
+    "p1_report": mapping.p1_report,
     "p4_found": components.p4_found,
     "p5_found": splits.p5_found,
     "p5_splits": splits.p5_splits,
