@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import components, mapping, percentiles, splits
+from cohortlake.llm import components, mapping, mixing, packing, percentiles, splits
 
 QUERIES = {
     "p1_found": mapping.p1_found,
@@ -12,6 +12,10 @@ QUERIES = {
     "p5_splits": splits.p5_splits,
     "p6_found": percentiles.p6_found,
     "p6_percentiles": percentiles.p6_percentiles,
+    "p7_packs": packing.p7_packs,
+    "p7_fill": packing.p7_fill,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
 }
 SQL = {
     "p6_found": """
