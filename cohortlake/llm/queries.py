@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import components, mapping, mixing, packing, percentiles, splits
+from cohortlake.llm import clusters, components, mapping, mixing, packing, percentiles, splits
 
 QUERIES = {
     "p1_found": mapping.p1_found,
     "p1_report": mapping.p1_report,
+    "p2_found": clusters.p2_found,
+    "p2_typical": clusters.p2_typical,
     "p4_found": components.p4_found,
     "p5_found": splits.p5_found,
     "p5_splits": splits.p5_splits,
