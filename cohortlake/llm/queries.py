@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import clusters, components, mapping, mixing, packing, percentiles, splits
+from cohortlake.llm import abuse, clusters, components, mapping, mixing, packing, percentiles, splits
 
 QUERIES = {
     "p1_found": mapping.p1_found,
@@ -18,6 +18,9 @@ QUERIES = {
     "p7_fill": packing.p7_fill,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
+    "p9_found": abuse.p9_found,
+    "p9_scores": abuse.p9_scores,
+    "p9_rates": abuse.p9_rates,
 }
 SQL = {
     "p6_found": """
