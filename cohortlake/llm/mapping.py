@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.session import table
+from cohortlake.session import Scratch, table
 
 # fixed values: letters of other scripts that look like Latin ones
 LOOKALIKES = str.maketrans("аеорсухіјѕԁԛԝАВЕКМНОРСТУХІЈЅαβεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧı", "aeopcyxijsdqwABEKMHOPCTYXIJSabeikvoptuxABEZHIKMNOPTYXi")
@@ -109,10 +109,11 @@ def match(values: DataFrame, reference: DataFrame, threshold: float = 0.6) -> Da
     values are left out; blank values and values without words are UNMATCHED.
     """
     spark = values.sparkSession
-    val = values.where("value is not null").select("value").distinct().withColumn("tokens", tokens_of("value"))
+    scratch = Scratch(spark, "mapping")
+    val = scratch.save(values.where("value is not null").select("value").distinct().withColumn("tokens", tokens_of("value")), "values")
     toks = val.select("value", F.posexplode("tokens").alias("pos", "token"))
 
-    ref = reference.where("code is not null and name is not null").select("code", "name", "short_forms").withColumn("words", F.array_distinct(tokens_of("name")))
+    ref = scratch.save(reference.where("code is not null and name is not null").select("code", "name", "short_forms").withColumn("words", F.array_distinct(tokens_of("name"))), "reference")
     entry_words = ref.select("code", F.explode("words").alias("word")).distinct()
     n = ref.select("code").distinct().agg(F.count("*").alias("N"))
     idf = entry_words.groupBy("word").agg(F.count("*").alias("df")).join(n, F.lit(True)).select("word", F.log(1 + F.col("N") / F.col("df")).alias("idf"), F.log(1 + 2 * F.col("N")).alias("rare"))
@@ -128,10 +129,11 @@ def match(values: DataFrame, reference: DataFrame, threshold: float = 0.6) -> Da
     distinct = toks.select("token").distinct()
     known = distinct.join(whole, "token").select("token", "word", F.lit(1.0).alias("sim"), F.lit(True).alias("whole"))
     rest = distinct.join(whole.select("token").distinct(), "token", "left_anti")
-    mapped = known.unionByName(repair(rest, vocabulary).withColumn("whole", F.lit(False)))
+    mapped = scratch.save(known.unionByName(repair(rest, vocabulary).withColumn("whole", F.lit(False))), "mapped")
 
     number = F.col("token").rlike("^[0-9]+$")
     hits = toks.join(mapped, "token", "left").join(idf.select("word", "idf"), "word", "left").join(n.select(F.log(1 + 2 * F.col("N")).alias("rare")), F.lit(True))
+    hits = scratch.save(hits, "hits")
     # a whole stands for all its words; else a token weighs as the likeliest of its words, or as a rare one
     per_token = hits.groupBy("value", "pos").agg(F.max("rare").alias("rare"), F.max(number).alias("number"), F.max("whole").alias("whole"), F.sum(F.col("idf") ** 2).alias("all2"), F.max_by("idf", F.struct("sim", "idf")).alias("top"))
     weight2 = F.when(F.col("number"), 0.0).when(F.col("whole"), F.col("all2")).otherwise(F.coalesce("top", "rare") ** 2)
