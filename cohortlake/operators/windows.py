@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.scoring import diffusivity
+from cohortlake.session import blocked_cumsum
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", blocks: int = 32) -> DataFrame:
     """Average-tie ranks of non-null values within groups, from distinct values and their counts.
 
-    Ranks come from a window over distinct values, joined back, so equal values never sort row by row.
+    The running count over distinct values is taken in blocks between approximate percentiles of the
+    group, so that a group with most of the rows is spread over tasks; ranks are exact all the same.
     """
     d = df.where(F.col(value).isNotNull())
     per = d.groupBy(*by, value).agg(F.count("*").alias("_t"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_t").over(w), F.lit(0))).withColumn(out, F.col("_before") + (F.col("_t") + 1) / 2)
+    marks = per.groupBy(*by).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("_marks"))
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}"))
+    per = per.alias("p").join(marks.alias("m"), cond).select("p.*", "m._marks")
+    block = F.size(F.filter("_marks", lambda x: x < F.col(value)))
+    per = blocked_cumsum(per, by, [value], block, F.col("_t"), "_before", blocks).withColumn(out, F.col("_before") + (F.col("_t") + 1) / 2)
     return d.join(per.select(*by, value, out, F.col("_t").alias(f"{out}_ties")), [*by, value])
 
 
@@ -35,8 +42,8 @@ def top_n(df: DataFrame, by: list[str], order: list, n: int, out: str = "place")
 
 def relative_position(df: DataFrame, by: list[str], value: str, out: str = "relative", descending: bool = False) -> DataFrame:
     """Place between the group's extremes, 0 to 1; groups of one row or without range are dropped."""
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumns({"_lo": F.min(value).over(w), "_hi": F.max(value).over(w)}).where("_hi > _lo")
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_hi > _lo")
+    d = df.where(F.col(value).isNotNull()).join(ends, by)
     span = F.col("_hi") - F.col("_lo")
     at = (F.col("_hi") - F.col(value)) if descending else (F.col(value) - F.col("_lo"))
     return d.withColumn(out, at / span).drop("_lo", "_hi")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlake.operators import nested
-from cohortlake.plans import cohort_queries
+from cohortlake.plans import cohort_queries, model_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = cohort_queries.QUERIES | {
+QUERIES: dict[str, Query] = cohort_queries.QUERIES | model_queries.QUERIES | {
     "p3_found": nested.p3_found,
     "p3_points": nested.p3_points,
 }
