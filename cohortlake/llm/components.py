@@ -88,13 +88,13 @@ def connected_components(edges: DataFrame, near: str | None = None, bound: int =
             levels.append(scratch.save(stars.select("vertex", "root"), "level"))
             scratch.drop(stars, e)
             break
-        seen = stars.groupBy("vertex").agg(F.count("*").alias("k"), F.min("root").alias("root"))
+        seen = stars.groupBy("vertex").agg(F.count("*").alias("k"), F.min("root").alias("root"), F.max("root").alias("most"))
         settled = seen.where("k = 1 and vertex <> root").select("vertex", "root")
         shared = seen.where("k > 1").select("vertex")
         up = stars.where("vertex <> root").join(shared, "vertex", "left_semi")
         nxt = up.select(F.least("vertex", "root").alias("u"), F.greatest("vertex", "root").alias("v"), F.lit(None).cast("string").alias("near")).distinct()
-        # a root without shared vertices is final: it has no edge above, so it keeps its own name
-        own = seen.where("k = 1 and vertex = root").select("vertex", "root")
+        # a vertex that is a root wherever it lies may have no edge above; it keeps its own name unless it has
+        own = seen.where("vertex = root and vertex = most").select("vertex", "root")
         levels.append(scratch.save(settled.unionByName(own), "level"))
         old, e = e, scratch.save(nxt, "edges")
         m = e.count()
