@@ -52,7 +52,7 @@ def words_of(text: str | None) -> list[str]:
         skip = w in ("roi", "reader")
         if w in NOISE:
             continue
-        if w.isdigit() or re.fullmatch(r"[a-z]{1,4}[0-9]|[0-9](?:st|nd|rd|th)", w):
+        if w.isdigit() or re.fullmatch(r"[a-z]{1,2}[0-9]|[0-9](?:st|nd|rd|th)", w):
             out.append(w)
             continue
         w = w.translate(LEET)
