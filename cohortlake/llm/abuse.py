@@ -52,7 +52,7 @@ se branle|branle pendant|branle crédits|quels seins|seins retient|seins tout ce
 CITED = """withdrawn word|condemn language|anonymous letter|hate speech shames|shames us|no place public life|threats such as|leaflet said|was called|witness described|struck record|words struck|verurteilen wir|nannte mich|solche worte|flugblatt stand|ist hetze|weisen sie zurück|on m'a traité|lettre anonyme|condamne ces mots|tract disait|appel à la haine|nous le rejetons|getötet speichern|tué dans les silos"""
 
 _LEET = str.maketrans("0134578@$€!|", "oieastbaseii")
-_SEP = re.compile(r"(?<![^\W\d_])((?:[^\W\d_][ .\-_·*]{1,2}){3,}[^\W\d_])(?![^\W\d_])")
+_SEP = re.compile(r"(?<![^\W\d_])([^\W\d_]([ .\-_·*]{1,2})(?:[^\W\d_]\2){2,}[^\W\d_])(?![^\W\d_])")
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»\n]{0,200}[\"”“»]")
 _STRUCK = re.compile(r"~~.*?~~|<(?:s|del|strike)>.*?</(?:s|del|strike)>|\[[^\]\n]*(?:struck|stricken|gestrichen|rayé|expunged)[^\]\n]*\]", re.S)
 _SPLIT = re.compile(r"(?:(?<!\b[A-Z])(?<!\bAbg)(?<!\bDr)(?<!\bMr)(?<!\bMs)[.!?…]+[)\]]?\s+)|\n+|(?<=\))\s+(?=\()")
