@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "cohortlake") -> SparkSession:
@@ -49,6 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        zipped = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-cohortlake-')}/cohortlake", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(zipped)
+        _SHIPPED.add(app)
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and outlive executors.
 
