@@ -182,7 +182,7 @@ def pack_documents(sized: DataFrame, sizes: list[tuple[str, int]]) -> DataFrame:
         got = pack(items.select("item", "size"), capacity, scratch)
         got = got.join(items.select("item", "doc_id", "piece"), "item").select(F.lit(name).alias("pack_name"), "container", "doc_id", "piece", "size")
         out = got if out is None else out.unionByName(got)
-    return out
+    return out if out is not None else sized.sparkSession.createDataFrame([], "pack_name string, container string, doc_id long, piece int, size int")
 
 
 def _all(spark, sf_dir: str) -> DataFrame:
