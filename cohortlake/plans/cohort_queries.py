@@ -202,6 +202,16 @@ def region_edges(spark, d):
     return J.range_edges(q, ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0)
 
 
+#: The filter in the SQL of region_edges and lesion_groups; the queries over all patients have the rest.
+REAL = " and pid <> 'QA-PHANTOM-1'"
+
+
+@query("region_edges_all", SQL["region_edges"].replace(REAL, ""), tables=False)
+def region_edges_all(spark, d):
+    """Regions of all patients that touch, the calibration object's too, which holds a tenth of the rows."""
+    return J.range_edges(C.rois(spark, d).where("territory is not null"), ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0)
+
+
 @query("excluded_regions", """
 select r.roi_id, r.pid from r where vessel is not null and not exists (select 1 from l, unnest(l.roi_keys) u(k) where l.pid = r.pid and k.image_index = r.image_index and k.roi_idx = r.roi_idx_in_slice)""")
 def excluded_regions(spark, d):

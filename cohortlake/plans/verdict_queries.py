@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cohortlake.functions import scoring as S
 from cohortlake.operators import aggregates as A
 from cohortlake.operators import graph, statistics as T, windows as W
-from cohortlake.plans.cohort_queries import BURDEN, LONG, PARTS, region_edges, rounded, thickness
+from cohortlake.plans.cohort_queries import BURDEN, LONG, PARTS, REAL, region_edges, rounded, thickness
+from cohortlake.session import Scratch
 from cohortlake.sources import cohort as C
 
 QUERIES: dict = {}
@@ -50,6 +51,21 @@ def lesion_groups(spark, d):
     return rounded(g, area_mm2=5, volume_mm3=5, cx=5, cy=5)
 
 
+def lesion_groups_all(spark, d):
+    """``lesion_groups`` over all patients; a lesion may hold most of a dense patient, so none is a list."""
+    q = C.rois(spark, d).where("territory is not null and slice_idx is not null and cx is not null and cy is not null")
+    q = Scratch(spark, "lesions").save(q.select("pid", "territory", "roi_id", "slice_idx", "cx", "cy", "area_cm2", "max_hu"), "regions")
+    comp = graph.components(graph.touch_edges(q, ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0))
+    j = q.join(comp, q["roi_id"] == comp["node"], "left").withColumn("lesion", F.coalesce("root", "roi_id")).join(thickness(spark, d), "pid", "left")
+    a = F.coalesce("area_cm2", F.lit(0.0)) * 100
+    centre = lambda c: F.coalesce(F.try_divide(F.sum(a * F.col(c)), F.sum(a)), F.avg(c)).alias(c)
+    g = j.groupBy("pid", "territory", "lesion").agg(F.count("*").alias("n_rois"), F.sum(a).alias("area_mm2"), F.sum(a * F.coalesce("slice_thickness", F.lit(0.0))).alias("volume_mm3"), F.max("max_hu").alias("max_hu"), F.countDistinct("slice_idx").alias("n_slices"), centre("cx"), centre("cy"))
+    return rounded(g, area_mm2=5, volume_mm3=5, cx=5, cy=5)
+
+
+QUERIES["lesion_groups_all"], SQL["lesion_groups_all"] = lesion_groups_all, SQL["lesion_groups"].replace(REAL, "")
+
+
 @query("sentinel_audit", LONG + """
 select feature, count(v) n, round(avg((v = 0)::int), 6) zero_rate, round(avg((v = 1)::int), 6) one_rate, round(stddev_pop(v), 5) sd, round(stddev_pop(v) filter (v <> 0), 5) sd_nonzero, round(avg(((v > 0) = (n_art > 0))::int), 6) agreement
 from (select x.*, f.n_calcified_arteries n_art from x join f using (pid)) group by 1""")

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.operators import aggregates as A
+from cohortlake.operators import graph as G
 from cohortlake.operators import joins as J
 from cohortlake.operators import multivariate as M
 from cohortlake.operators import statistics as T
 from cohortlake.operators import windows as W
+from cohortlake.plans import registry
 from cohortlake.session import Scratch, blocked_cumsum
 
 
@@ -183,3 +185,26 @@ def test_caliper_match_takes_turns(spark):
     mk = lambda rows: spark.createDataFrame([("s", *r) for r in rows] + [("s", "null" + rows[0][0], None)], "g string, pid string, v double")
     got = {tuple(r) for r in M.caliper_match(mk(cases), mk(controls), ["g"], "pid", "v", 0.4, 2, Scratch(spark, "t")).collect()}
     assert got == want
+
+
+def test_touch_edges_of_a_dense_patient_have_the_components_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [("QA-PHANTOM-1", i, rng.randint(0, 1), rng.gauss(60, 3), rng.gauss(60, 3)) for i in range(250)]
+    rows += [("QA-PHANTOM-1", 250 + i, rng.randint(0, 9), rng.uniform(-90, 90), rng.uniform(-90, 90)) for i in range(150)]
+    rows += [("P1", 400 + i, rng.randint(0, 5), rng.uniform(0, 40), rng.uniform(0, 40)) for i in range(60)] + [("P2", 460, 3, 1.0, 1.0), ("P2", 461, 4, 4.0, 5.0), ("P2", 462, 5, 7.0, 9.1), ("P2", 463, None, 4.0, 5.0)]
+    touch = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 1 and (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= 25]
+    root = {r[1]: r[1] for r in rows}
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a, b in touch:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    df = spark.createDataFrame(rows, "pid string, id int, s int, x double, y double")
+    edges = G.touch_edges(df, ["pid"], "id", "s", "x", "y", 1, 5.0)
+    assert edges.count() < len(touch) / 5
+    ends = {k for e in touch for k in e}
+    assert {(r.node, r.root) for r in G.components(edges, scratch=Scratch(spark, "t")).collect()} == {(k, find(k)) for k in ends}
+
+
+def test_queries_over_all_patients_have_the_phantom(spark, sf):
+    edges, groups = (registry.QUERIES[n](spark, sf).where("pid = 'QA-PHANTOM-1'").collect() for n in ("region_edges_all", "lesion_groups_all"))
+    assert len(edges) > 0 and sum(r.n_rois for r in groups) == 136  # its normalised and placed regions
