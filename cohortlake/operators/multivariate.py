@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.scoring import yeo_johnson
 from cohortlake.operators.windows import average_rank
+from cohortlake.session import Scratch
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -109,52 +110,160 @@ def lloyd(x: np.ndarray, k: int, seed: int, starts: int = 4, steps: int = 50) ->
     return labels
 
 
-def _spread(x: np.ndarray, labels: np.ndarray) -> float:
-    return sum(((x[labels == j] - x[labels == j].mean(0)) ** 2).sum() for j in np.unique(labels) if (labels == j).sum() >= 2)
+#: Levels of the grid on which columns are clustered: sums of whole numbers do not depend on partitions.
+LEVELS = 2**20
 
 
-def gap_statistic(df: DataFrame, columns: list[str], key: str, ks: tuple[int, ...] = (1, 2, 3, 4, 5), replicates: int = 20, most: int = 1000, seed: int = 42) -> DataFrame:
-    """(k, log_w, gap, s): log dispersion of a bounded sample against uniform boxes, one replicate a row."""
-    spark = df.sparkSession
-    x = sample_matrix(df, columns, key, most, seed)
-    if len(x) < 2:
-        return spark.createDataFrame([], "k int, log_w double, gap double, s double")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                k, b = ks[i % len(ks)], int(i // len(ks)) - 1  # replicate -1 is the sample itself
-                y = x if b < 0 else np.random.default_rng(seed * 10_000 + k * 1000 + b).uniform(x.min(0), x.max(0), size=x.shape)
-                out.append((k, b, math.log(max(_spread(y, lloyd(y, k, seed + b + 1)), 1e-300))))
-            yield pd.DataFrame(out, columns=["k", "b", "log_w"])
+def _unit(h: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) from row hashes and a salt."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
 
-    n = len(ks) * (replicates + 1)
-    w = spark.range(0, n, 1, min(n, 64)).mapInPandas(run, "k int, b int, log_w double")
-    own = w.where("b < 0").select("k", "log_w")
-    ref = w.where("b >= 0").groupBy("k").agg(F.avg("log_w").alias("m"), (F.stddev_pop("log_w") * math.sqrt(1 + 1 / replicates)).alias("s"))
-    return own.join(ref, "k").select("k", "log_w", (F.col("m") - F.col("log_w")).alias("gap"), "s")
 
+class Replicates:
+    """k-means of replicates of a whole table, all fitted in the same passes over its rows.
 
-def cluster_stability(df: DataFrame, columns: list[str], key: str, k: int, replicates: int = 30, most: int = 1000, seed: int = 42) -> DataFrame:
-    """(cluster, jaccard_median, jaccard_mean, stable): overlap of each cluster with its best match in bootstraps."""
-    spark = df.sparkSession
-    x = sample_matrix(df, columns, key, most, seed)
-    base = lloyd(x, k, seed) if len(x) else np.array([], dtype=int)
+    A replicate is ``all`` rows, ``boot`` (the rows that a bootstrap draws at least once, by a hash of
+    the key) or ``box`` (as many uniform points in the columns' ranges, made from the row hashes).
+    A pass leaves sums per cluster; the driver has replicates x clusters x columns. Starts are drawn by
+    k-means++ over all rows. The same on any number of partitions.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for b in pdf["id"]:
-                rows = np.unique(np.random.default_rng(seed * 1_000_000 + int(b)).integers(0, len(x), len(x)))
-                lab = lloyd(x[rows], k, seed + int(b))
-                for c in np.unique(base):
-                    own = base[rows] == c
-                    out.append((int(c), max(((own & (lab == j)).sum() / max(1, (own | (lab == j)).sum()) for j in np.unique(lab)), default=0.0)))
-            yield pd.DataFrame(out, columns=["cluster", "j"])
-
-    reps = spark.range(0, replicates if len(x) else 0, 1, min(replicates, 64)).mapInPandas(run, "cluster int, j double")
-    return reps.groupBy("cluster").agg(F.percentile("j", F.lit(0.5)).alias("jaccard_median"), F.avg("j").alias("jaccard_mean")).withColumn("stable", F.col("jaccard_median") >= 0.75)
+    def __init__(self, df: DataFrame, columns: list[str], key: str, seed: int):
+        d = df.na.drop(subset=[*columns, key]).select(F.xxhash64(F.lit(seed), key).alias("h"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+        self.rows, self.p, self.seed = Scratch(df.sparkSession, "replicates").save(d, "rows"), len(columns), seed
+        row = self.rows.agg(F.count("*"), *[f(f"x{i}") for f in (F.min, F.max) for i in range(self.p)]).first()
+        self.n = row[0]
+        if self.n:
+            self.low = np.array(row[1 : 1 + self.p], dtype=float)
+            self.step = (np.array(row[1 + self.p :], dtype=float) - self.low) / LEVELS
+
+    def scan(self, sets: list[tuple[str, int]], work, schema: str) -> DataFrame:
+        """``work(set, hashes, whole-numbered rows, kept)`` over chunks; a chunk's sums of squares stay exact in doubles."""
+        low, step, p, seed = self.low, self.step, self.p, self.seed
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), 4096):
+                    part = pdf.iloc[at : at + 4096]
+                    h = part["h"].to_numpy(dtype=np.int64)
+                    own = np.rint((part.drop(columns="h").to_numpy(dtype=float) - low) / np.where(step > 0, step, 1))
+                    out = []
+                    for kind, b in sets:
+                        salt = (seed * 1_000_003 + b) * 64
+                        q = own if kind != "box" else np.column_stack([np.rint(_unit(h, salt + c) * LEVELS) for c in range(p)])
+                        out += work((kind, b), h, q, _unit(h, salt + 63) < 1 - math.exp(-1) if kind == "boot" else np.ones(len(h), dtype=bool))
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+        return self.rows.mapInPandas(run, schema)
+
+    def nearest(self):
+        step = self.step
+        return lambda q, centres: ((centres * step) ** 2).sum(1) - 2 * (q * step**2) @ centres.T
+
+    def fit(self, runs: list[tuple[int, str, int]], starts: int = 4, steps: int = 50) -> tuple[list[np.ndarray], list[float]]:
+        """Centres (in levels) and dispersion of the best start of each run (k, kind, replicate)."""
+        near, step, seed = self.nearest(), self.step, self.seed
+        tiny = 1e-12 * ((LEVELS * step) ** 2).sum()  # about the grid
+        every = [(k, kind, b, s) for k, kind, b in runs for s in range(starts if k > 1 else 1)]
+        centres: list[np.ndarray] = [np.zeros((0, self.p)) for _ in every]
+        for j in range(max(k for k, *_ in every)):
+            now = [r for r, (k, *_) in enumerate(every) if k > j]
+
+            def draw(of, h, q, kept, now=now, j=j):
+                out, size = [], ((q * step) ** 2).sum(1)
+                for r in (r for r in now if every[r][1:3] == of):
+                    # the first of exponential clocks whose rates are the squared distances
+                    d2 = np.ones(len(q)) if j == 0 else np.maximum(size + near(q, centres[r]).min(1), 0)
+                    d2 = np.where(kept & ((d2 > tiny) | (j == 0)), d2, 0)
+                    with np.errstate(divide="ignore"):
+                        clock = -np.log(_unit(h, (seed * 7919 + r) * 64 + j)) / d2
+                    i = int(clock.argmin()) if len(q) else -1
+                    if i >= 0 and np.isfinite(clock[i]):
+                        out.append((r, float(clock[i]), int(h[i]), q[i].tolist()))
+                return out
+
+            first = self.scan(sorted({every[r][1:3] for r in now}), draw, "r int, clock double, h long, q array<double>").groupBy("r").agg(F.min_by("q", F.struct("clock", "h")).alias("q"))
+            got = {x.r: np.array(x.q) for x in first.collect()}
+            for r in now:
+                # no row apart from the centres: the cluster stays empty
+                centres[r] = np.vstack([centres[r], got[r] if r in got else np.full(self.p, 1e9)])
+        open_ = list(range(len(every)))
+        for _ in range(steps):
+            sums = self.sums(every, centres, open_, False)
+            still = []
+            for r in open_:
+                new = np.array([[v / n for v in s] if n else centres[r][c] for c, (n, s, _) in enumerate(sums[r])])
+                if not np.allclose(new, centres[r]):
+                    still.append(r)
+                centres[r] = new
+            open_ = still
+            if not open_:
+                break
+        cost = {r: sum(float(step[c]) ** 2 * ((n * s2[c] - s[c] ** 2) / n) for n, s, s2 in sums if n for c in range(self.p)) for r, sums in self.sums(every, centres, list(range(len(every))), True).items()}
+        best = [min((r for r, e in enumerate(every) if e[:3] == run), key=lambda r: cost[r]) for run in runs]
+        return [centres[r] for r in best], [cost[r] for r in best]
+
+    def sums(self, every, centres, which: list[int], squares: bool) -> dict[int, list]:
+        """Per run and cluster: rows, sums and sums of squares of the columns, as whole numbers."""
+        near = self.nearest()
+
+        def add(of, h, q, kept):
+            out, q = [], q[kept]
+            for r in (r for r in which if every[r][1:3] == of):
+                hot = (near(q, centres[r]).argmin(1)[:, None] == np.arange(len(centres[r]))).astype(float)
+                n, s, s2 = hot.sum(0), hot.T @ q, hot.T @ q**2 if squares else np.zeros((len(centres[r]), self_p))
+                out += [(r, c, [int(v) for v in (n[c], *s[c], *s2[c])]) for c in range(len(n)) if n[c]]
+            return out
+
+        self_p = self.p
+        t = self.scan(sorted({every[r][1:3] for r in which}), add, "r int, c int, v array<bigint>")
+        t = t.groupBy("r", "c").agg(*[F.sum(F.col("v")[i].cast("decimal(38,0)")).alias(f"v{i}") for i in range(1 + 2 * self.p)])
+        out = {r: [(0, [0] * self.p, [0] * self.p) for _ in centres[r]] for r in which}
+        for r, c, n, *v in t.collect():
+            out[r][c] = (int(n), [int(x) for x in v[: self.p]], [int(x) for x in v[self.p :]])
+        return out
+
+
+def gap_statistic(df: DataFrame, columns: list[str], key: str, ks: tuple[int, ...] = (1, 2, 3, 4, 5), replicates: int = 20, seed: int = 42) -> DataFrame:
+    """(k, log_w, gap, s): log dispersion of all complete rows against as many points in uniform boxes."""
+    spark, m = df.sparkSession, Replicates(df, columns, key, seed)
+    if m.n < 2:
+        return spark.createDataFrame([], "k int, log_w double, gap double, s double")
+    runs = [(k, *of) for k in ks for of in [("all", 0), *[("box", b + 1) for b in range(replicates)]]]
+    log_w = dict(zip(runs, (math.log(max(c, 1e-300)) for c in m.fit(runs)[1])))
+    rows = []
+    for k in ks:
+        own, ref = log_w[k, "all", 0], np.array([log_w[k, "box", b + 1] for b in range(replicates)])
+        rows.append((k, own, float(ref.mean() - own), float(ref.std() * math.sqrt(1 + 1 / replicates))))
+    return spark.createDataFrame(rows, "k int, log_w double, gap double, s double")
+
+
+def cluster_stability(df: DataFrame, columns: list[str], key: str, k: int, replicates: int = 30, seed: int = 42) -> DataFrame:
+    """(cluster, jaccard_median, jaccard_mean, stable): overlap of each cluster of all rows with its best match in bootstraps."""
+    spark, m = df.sparkSession, Replicates(df, columns, key, seed)
+    schema = "cluster int, jaccard_median double, jaccard_mean double, stable boolean"
+    if not m.n:
+        return spark.createDataFrame([], schema)
+    base, *boots = m.fit([(k, "all", 0), *[(k, "boot", b + 1) for b in range(replicates)]])[0]
+    near = m.nearest()
+
+    def cross(of, h, q, kept):
+        a, b = near(q, base).argmin(1), near(q, boots[of[1] - 1]).argmin(1) if of[0] == "boot" else np.zeros(len(q), dtype=int)
+        cells = np.bincount((a * k + b)[kept], minlength=k * k)
+        return [(of[1], i // k, i % k, int(n)) for i, n in enumerate(cells) if n]
+
+    t = m.scan([("all", 0), *[("boot", b + 1) for b in range(replicates)]], cross, "rep int, a int, b int, n long").groupBy("rep", "a", "b").agg(F.sum("n").alias("n"))
+    n = np.zeros((replicates + 1, k, k))
+    for r in t.collect():
+        n[r.rep, r.a, r.b] = r.n
+    union = n[1:].sum(2, keepdims=True) + n[1:].sum(1, keepdims=True) - n[1:]
+    best = (n[1:] / np.maximum(union, 1)).max(2)
+    rows = [(c, float(np.median(best[:, c])), float(best[:, c].mean()), bool(np.median(best[:, c]) >= 0.75)) for c in range(k) if n[0, c].sum()]
+    return spark.createDataFrame(rows, schema)
 
 
 def consensus(df: DataFrame, columns: list[str], key: str, ks: tuple[int, ...] = (2, 3, 4), replicates: int = 30, most: int = 300, seed: int = 42) -> DataFrame:

@@ -151,6 +151,16 @@ def test_gap_and_stability_find_three_clusters(spark):
     assert one == {r.k: r.gap for r in gaps.collect()}
 
 
+def test_gap_and_stability_see_a_cluster_of_a_thousandth_of_the_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(6000, 2)) * 0.01, rng.normal(size=(6, 2)) * 0.01 + 50])
+    df = matrix(spark, x)
+    got = {r.k: r.log_w for r in M.gap_statistic(df, ["c0", "c1"], "id", ks=(1, 2), replicates=2).collect()}
+    want = [((x - x.mean(0)) ** 2).sum(), sum(((y - y.mean(0)) ** 2).sum() for y in (x[:6000], x[6000:]))]
+    assert np.allclose([got[1], got[2]], np.log(want), atol=1e-4)
+    assert len(M.cluster_stability(df, ["c0", "c1"], "id", 2, replicates=4).collect()) == 2
+
+
 def test_combat_removes_batch_shift(spark):
     rng = np.random.default_rng(4)
     rows = [(b, float(v + 5 * i), float(w)) for i, b in enumerate("xyz") for v, w in rng.normal(size=(80, 2))]
