@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from cohortlake.llm.abuse import OrdinalModel, PRIOR, features, fit_models, grade, score, segments
+from cohortlake.llm.abuse import CATEGORIES, DECIDE, Bags, OrdinalModel, Reader, Scorer, fit, fit_models, grade, score, segments
 from cohortlake.llm.clusters import communities, families, neighbour_graph, valley
 from cohortlake.llm.mapping import UNMATCHED, match, repair, words_of
 from cohortlake.session import Scratch, table
@@ -100,11 +100,20 @@ def test_valley_between_two_modes():
     assert -1.5 < valley(c, e) < 0
 
 
-def test_segments_and_cues():
-    (words,) = list(segments("You are a p-a-t-h-e-t-i-c 1d1ot"))
-    assert {"pathetic", "idiot"} <= set(words) and "#insulted" in features(words)
-    assert "#insulted" not in features(next(iter(segments('The word "idiot" was withdrawn'))))
-    assert list(segments("")) == [] and list(segments("[words struck from the record]")) == [["struckwords"]]
+def test_segments_undo_disguises_mark_quotes_and_drop_struck_words():
+    assert list(segments("You are p-a-t-h-e-t-i-c")) == [["you", "are", "pathetic"]]
+    assert list(segments('He said "go now. Leave" twice')) == [["he", "said", '"go', '"now', '"leave', "twice"]]
+    assert list(segments("«Va» et „komm“ 12 und “x”")) == [['"va', "et", '"kom', "#", "und", '"x']]
+    long = "word " * 500
+    assert all(w[0] == '"' for w in next(iter(segments(f'"{long}"'))))  # a quotation has no longest length
+    assert list(segments('An open " mark')) == [["an", "open", "mark"]]
+    assert list(segments("")) == [] and list(segments("[words struck from the record]")) == [] and list(segments("~~gone~~ here")) == [["here"]]
+
+
+def test_masked_words_are_read_by_a_vocabulary():
+    read = Reader({"weather": 5, "whether": 2, "ilot": 1, "list": 3}).read
+    assert read("we*ther") == "weather" and read("w***ther") in ("weather", "whether") and read("1i5t") == "list"
+    assert read("*") == "*" or read("*") in ("ilot", "list") and read('"we*ther') == '"weather'
 
 
 def test_grades():
@@ -112,43 +121,79 @@ def test_grades():
     assert grade({"abuse": 2}, "abuse") == 3 and grade({"hate": 1}, "abuse") is None
 
 
-def test_ordinal_model_learns_ordered_grades():
+def test_ordinal_fit_learns_ordered_grades():
     rng = np.random.default_rng(5)
-    rows, grades = [], []
+    docs, grades = [], []
     for _ in range(600):
-        k = int(rng.integers(0, 3))
-        rows.append({"bad": float(k), f"w{rng.integers(0, 50)}": 1.0})
+        k = int(rng.integers(0, 4))
+        docs.append([["zq"] * k + [f"w{rng.integers(0, 50)}"]])
         grades.append(k)
-    m = OrdinalModel({})
-    m.fit(rows, np.array(grades), ridge=0.0, tie=0.0, steps=400)
-    s = [m.severity(np.array(m.score({"bad": float(k)}))) for k in range(3)]
-    assert s[0] < s[1] < s[2] and list(m.cuts) == sorted(m.cuts)
+    b = Bags(docs)
+    w, cuts = fit(b, np.arange(b.n), np.array(grades), steps=400)
+    m = OrdinalModel({int(n): float(x) for names, v in zip(b.names, w) for n, x in zip(names, v)}, cuts)
+    s = [m.severity(np.array(m.score(["zq"] * k))) for k in range(4)]
+    assert s == sorted(s) and s[3] > s[0] + 1 and list(m.cuts) == sorted(m.cuts)
+    assert np.allclose(b.scores(w), [m.score(d[0]) for d in docs])
 
 
-def test_scores_of_documents(spark):
-    docs = [(1, "You are a worthless idiot, and everybody in this house knows it.", "a"), (2, "The harbour dues need a date and a name.", "a"), (3, None, "b"), (4, "", None), (5, "Send the foreigners back to the mud they crawled out of.", "b"), (6, "Der sitzt da und wichst sich durch den Haushalt.", "c"), (7, "The vermin officer reported on rats. " * 3000, "c"), (8, 'Last night I was called "a slimy rat" in an anonymous letter, and I ask the house to condemn such language.', "c")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    none = spark.createDataFrame([], "doc_id long, reviewer string, label string")
-    some = spark.createDataFrame([(1, "r", "abuse"), (2, "r", "none"), (99, "r", "hate"), (2, None, None), (5, "r", "odd")], "doc_id long, reviewer string, label string")
-    for labels in (none, some):
-        got = score(df, labels).toPandas().set_index("doc_id")
-        assert {(i, c) for c in ("abuse", "hate", "sexual") for i in got.index[got["has_" + c]]} == {(1, "abuse"), (5, "hate"), (6, "sexual")}
-        assert got.abuse[3] == 0 and got.abuse[1] > got.abuse[2]
+def speeches(n: int, seed: int, share: float = 0.25):
+    """Documents of invented words: one foul sentence of a category among plain ones, foul words cited or apart in others."""
+    rng = np.random.default_rng(seed)
+    foul = {c: [f"{c[0]}{x} grol {c[0]}{y} vant" for x in ("ulk", "onde", "irm") for y in ("apt", "esk")] for c in CATEGORIES}
+    plain = [f"the {a} {b} {c} today" for a in ("grol", "harbour", "vant", "tariff") for b in ("rises", "falls", "waits") for c in ("slowly", "again", "soon")]
+    out = []
+    for i in range(n):
+        d = list(rng.choice(plain, int(rng.integers(0, 12))))
+        label = "none"
+        if rng.random() < share:
+            label = str(rng.choice(CATEGORIES))
+            d.insert(int(rng.integers(0, len(d) + 1)), "Hear this: " + str(rng.choice(foul[label])))
+        elif rng.random() < 0.3:
+            c = str(rng.choice(CATEGORIES))
+            d.append(f'They wrote "{rng.choice(foul[c])}" and we reject it')
+        out.append((". ".join(d), label))
+    return out
+
+
+def test_models_learn_foul_sentences_from_document_labels_alone():
+    """Held-out accuracy on words that no list could hold; without reviewed cases nothing is found."""
+    rng = np.random.default_rng(8)
+    wrong = lambda label: str(rng.choice(CATEGORIES)) if rng.random() < 0.04 else label  # reviewers err
+    models, vocabulary = fit_models([(t, {wrong(label): 1}) for t, label in speeches(1500, 1)])
+    s = Scorer(models, vocabulary)
+    right = total = found = there = 0
+    for t, label in speeches(600, 2):
+        eta = s.worst(t)
+        for i, c in enumerate(CATEGORIES):
+            hit = models[c].chances(eta[i])[1] >= DECIDE
+            right, total = right + (hit == (label == c)), total + 1
+            found, there = found + (hit and label == c), there + (label == c)
+    assert right / total > 0.97 and found / there > 0.9
+    none, _ = fit_models([(t, {"none": 1}) for t, _ in speeches(50, 3)])
+    assert not any(m.weights for m in none.values())
 
 
-def test_held_out_accuracy(sf):
+def test_scores_of_documents(spark):
+    train = [(i, t, label) for i, (t, label) in enumerate(speeches(600, 4))]
+    odd = [(9001, None, "a"), (9002, "", None), (9003, "Hear this: aulk grol aapt vant. " * 20_000, "b"), (9003, "Hear this: aulk grol aapt vant", "b"), (9004, "The grol rises slowly today", "b")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t, _ in train] + odd, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "r", label) for i, _, label in train] + [(99_999, "r", "hate"), (2, None, None), (3, "r", "odd"), (None, "r", "hate")], "doc_id long, reviewer string, label string")
+    got = score(docs, labels).where("doc_id > 9000").toPandas()
+    assert len(got) == 5 and got[got.doc_id == 9003].has_abuse.all() and not got[got.doc_id != 9003].has_abuse.any()
+    assert (got[got.doc_id == 9001].abuse == 0).all() and not got.has_hate.any()
+    assert not score(docs, labels.limit(0)).where("has_abuse or has_hate or has_sexual or abuse + hate + sexual > 0").count()
+
+
+def test_reviewed_cases_of_the_tables_rank_first():
+    """Of reviewed documents, each scored by a model of the other four fifths, cases stand above most others."""
     d = "/root/testdata/sf0.1"
     labels, docs = pd.read_parquet(f"{d}/speech_labels.parquet"), pd.read_parquet(f"{d}/documents.parquet").set_index("doc_id").text
     votes = {i: g.label.value_counts().to_dict() for i, g in labels.dropna().groupby("doc_id")}
     ids = sorted(votes)
-    models = fit_models([(docs[i], votes[i]) for i in ids[::2]])
-    right = total = 0
-    for i in ids[1::2]:
-        for c, m in models.items():
-            g = grade(votes[i], c)
-            if g is not None and g != 1:
-                eta = max((m.score(features(s)) for s in segments(docs[i] or "")), default=-50.0)
-                right += (m.chances(np.array(eta))[1] >= 0.5) == (g >= 2)
-                total += 1
-    assert right / total > 0.95
-    assert set(PRIOR) == set(models)
+    eta = {}
+    for k in range(5):
+        s = Scorer(*fit_models([(docs[i], votes[i]) for n, i in enumerate(ids) if n % 5 != k]))
+        eta |= {i: s.worst(docs[i])[0] for i in ids[k::5]}
+    yes = [eta[i] for i in eta if (grade(votes[i], "abuse") or 0) >= 2]
+    no = np.array([eta[i] for i in eta if grade(votes[i], "abuse") == 0])
+    assert len(yes) > 30 and np.mean([np.mean(no < y) for y in yes]) > 0.65
