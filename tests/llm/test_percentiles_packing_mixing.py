@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from cohortlake.llm.mixing import mix, poisson_count
-from cohortlake.llm.packing import CLASSES, combinations, pack, pack_documents, pieces, solve_repeats
+from cohortlake.llm.packing import CLASSES, WINDOWS, combinations, pack, pack_documents, pieces, solve_repeats
 from cohortlake.llm.percentiles import outside, percentiles
 from cohortlake.llm.tokens import count_tokens, with_tokens
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def test_tokens_null_empty_long(spark):
 
 def test_combinations_fill_the_window_and_repeats_are_feasible():
     c = combinations()
-    assert set(c.sum(1)) == {CLASSES - 1, CLASSES}
+    assert set(c.sum(1)) == set(range(CLASSES - WINDOWS[-1], CLASSES + 1)) and len({tuple(x) for x in c.tolist()}) == len(c)
     h = np.zeros(CLASSES + 1)
     h[[40, 44, 88, 128]] = [50, 40, 30, 3]
     r = solve_repeats(c, h)
@@ -56,13 +56,30 @@ def test_packing_places_every_item_once_within_capacity(spark):
     random.seed(4)
     sizes = [random.choice([3, 17, 60, 60, 60, 200, 300, 511, 512]) for _ in range(700)] + [0, None, 600]
     items = spark.createDataFrame([(f"i{n}", s) for n, s in enumerate(sizes)], "item string, size int")
-    got = pack(items, 512, block_items=150).toPandas()
-    assert len(got) == 700 and got.item.is_unique
-    fill = got.groupby("container")["size"].sum()
-    assert fill.max() <= 512 and len(fill) <= 1.1 * math.ceil(fill.sum() / 512)
+    for capacity in (512, 4096):
+        got = pack(items.where("size <= 512"), capacity, block_items=150).toPandas()
+        assert len(got) == 700 and got.item.is_unique
+        fill = got.groupby("container")["size"].sum()
+        assert fill.max() <= capacity and len(fill) <= 1.1 * math.ceil(fill.sum() / capacity) + 1
     assert pack(items.limit(0), 512).count() == 0
 
 
+def test_short_items_are_placed_by_combinations_of_bundles(spark):
+    random.seed(7)
+    items = spark.createDataFrame([(f"i{n}", min(8000, int(random.lognormvariate(5, 0.8)) + 1)) for n in range(6000)], "item string, size int")
+    got = pack(items, 8192).toPandas()
+    solved = got[got.container.str.startswith("c")]["size"].sum() / got["size"].sum()
+    fill = got.groupby("container")["size"].sum()
+    assert len(got) == 6000 and fill.max() <= 8192 and solved > 0.9 and fill.sum() / (len(fill) * 8192) > 0.97
+
+
+def test_long_texts_are_counted_as_a_whole():
+    from cohortlake.llm.tokens import RANKS, encoding
+
+    for text in ("x" * 250_000, ("word" * 300 + "  ") * 150, " " * 120_000 + "a " * 70_000, "ab\n" * 60_000):
+        assert count_tokens(text) == len(encoding(RANKS).encode_ordinary(text))
+
+
 def test_only_long_documents_are_cut(spark):
     d = spark.createDataFrame([(1, 100), (2, 1025), (3, 0), (4, None), (5, 512), (1, 100)], "doc_id long, n_tokens long")
     got = sorted((r.doc_id, r.piece, r.size) for r in pieces(d, 512).collect())
