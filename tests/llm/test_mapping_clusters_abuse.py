@@ -89,9 +89,24 @@ def test_communities_in_rounds_equal_those_in_one_task(spark):
     rng = np.random.default_rng(2)
     e = [(int(min(a, b) + 50 * c), int(max(a, b) + 50 * c), 1.0) for c in range(4) for a, b in rng.integers(0, 50, (300, 2)) if a != b]
     df = spark.createDataFrame(e, "a long, b long, w double").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    one = {r.node: r.community for r in communities(df, Scratch(spark, "a")).collect()}
-    many = {r.node: r.community for r in communities(df, Scratch(spark, "b"), small=0).collect()}
-    assert one == many and set(one.values()) == {min(k for k in one if k // 50 == c) for c in range(4)}
+    for gamma in (0.02, 1.0):
+        one = {r.node: r.community for r in communities(df, Scratch(spark, "a"), gamma).collect()}
+        many = {r.node: r.community for r in communities(df, Scratch(spark, "b"), gamma, small=0).collect()}
+        assert one == many and all(one[one[n]] == one[n] <= n for n in one)
+    assert {n // 50 == c // 50 for n, c in one.items()} == {True}
+
+
+def test_modularity_parts_touching_families_that_linkage_joins(spark):
+    """Two dense groups joined by a few edges, in a graph with others: one component, two communities, at two sizes."""
+    for size, others in ((40, 6), (160, 6)):
+        rng = np.random.default_rng(size)
+        groups = [(int(min(a, b) + size * c), int(max(a, b) + size * c), 1.0) for c in range(2 + others) for a, b in rng.integers(0, size, (size * 6, 2)) if a != b]
+        bridge = [(int(i), int(size + i), 0.6) for i in range(4)]
+        df = spark.createDataFrame(groups + bridge, "a long, b long, w double").groupBy("a", "b").agg(F.sum("w").alias("w"))
+        got = {r.node: r.community for r in communities(df, Scratch(spark, "t")).collect()}
+        linked = {r.node: r.community for r in communities(df, Scratch(spark, "t"), gamma=0.0).collect()}
+        assert {got[i] for i in range(size)}.isdisjoint({got[i] for i in range(size, 2 * size)})
+        assert len({linked[i] for i in range(2 * size)}) == 1
 
 
 def test_valley_between_two_modes():
