@@ -73,15 +73,17 @@ def connected_components(edges: DataFrame, near: str | None = None, bound: int =
     e = edges.select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"), key.alias("near")).where("u is not null and v is not null and u <> v")
     e = scratch.save(e, "edges")
     levels: list[DataFrame] = []
-    n = e.count()
+    n, stalled = e.count(), 0
     while n:
         parts = max(1, math.ceil(n / bound))
-        place = F.coalesce(F.xxhash64("near"), F.xxhash64("u"))
+        # by the smaller and the larger end in turns, under a hash of the level's own, so that no placing that stalls comes back
+        salt = F.lit(len(levels))
+        place = F.coalesce(F.xxhash64("near"), F.xxhash64("v" if len(levels) % 2 else "u", salt))
         if parts > 1:
             # keys that would fill more than half of a partition are spread by the pair itself
             hot = e.withColumn("_k", place).groupBy("_k").count().where(F.col("count") > bound // 2).select("_k", F.lit(True).alias("_hot"))
             e = e.withColumn("_k", place).join(hot, "_k", "left")
-            place = F.when(F.col("_hot"), F.xxhash64("u", "v", F.lit(len(levels)))).otherwise(F.col("_k"))
+            place = F.when(F.col("_hot"), F.xxhash64("u", "v", salt)).otherwise(F.col("_k"))
         placed = e.select(F.pmod(place, F.lit(parts)).cast("int").alias("part"), "u", "v")
         stars = scratch.save(placed.repartition(parts, "part").mapInPandas(_forest, _STAR), "stars")
         if parts == 1:
@@ -99,8 +101,9 @@ def connected_components(edges: DataFrame, near: str | None = None, bound: int =
         old, e = e, scratch.save(nxt, "edges")
         m = e.count()
         scratch.drop(stars, old)
-        if m >= n:  # no progress in this placing: larger partitions for the next level
-            bound *= 2
+        stalled = stalled + 1 if m >= n else 0
+        if stalled == 4:  # no placing of four made progress
+            bound, stalled = bound * 2, 0
         n = m
     if not levels:
         return spark.createDataFrame([], "vertex long, root long")

@@ -18,17 +18,12 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁԛԝАВЕКМНОРСТУХІ
 LEET = str.maketrans("01345789@$!|", "oieastbgasil")
 # fixed values: words around a name that say nothing about which one is meant
 NOISE = frozenset("roi vessel calcium calcification calc plaque in of the at copy lesion segment seg reader read by".split())
-# fixed values: usual short words of the field and what they stand for
-SHORT_WORDS = {
-    "l": "left", "lt": "left", "lft": "left", "r": "right", "rt": "right", "rgt": "right",
-    "p": "proximal", "px": "proximal", "m": "middle", "med": "middle", "d": "distal", "dx": "distal",
-    "cx": "circumflex", "circ": "circumflex", "br": "branch", "bra": "branch", "a": "artery", "art": "artery",
-    "ac": "acute", "am": "acute marginal", "om": "obtuse marginal", "pl": "posterolateral", "lat": "posterolateral", "lateral": "posterolateral",
-    "sa": "sinoatrial", "sinus": "sinoatrial", "sinu": "sinoatrial", "av": "atrioventricular", "node": "nodal", "conal": "conus",
-    "main": "coronary artery", "stem": "coronary artery", "lmca": "left coronary artery", "lmt": "left coronary artery", "lms": "left coronary artery",
-    "intermediate": "intermedius", "interm": "intermedius", "im": "intermedius", "diag": "diagonal", "dg": "diagonal", "sept": "septal",
-    "1st": "first", "2nd": "second", "1": "first", "2": "second", "i": "first", "ii": "second", "one": "first", "two": "second",
-}
+# fixed values: ways to write the ordinals of a numbered entry
+NUMERALS = {"1st": "first", "2nd": "second", "1": "first", "2": "second", "i": "first", "ii": "second", "one": "first", "two": "second"}
+# fixed values: words of the field for an entry's words, which no spelling tells
+SYNONYMS = {"main": "coronary artery", "stem": "coronary artery"}
+#: Likeness of a word to its beginnings, to an abbreviation by its first letter and one or two later ones, to a part of it, and to a word that begins alike.
+BEGINNING, ABBREVIATION, PART, ALIKE = 0.95, 0.85, 0.8, 0.7
 
 UNMATCHED = "UNMATCHED"
 
@@ -87,22 +82,48 @@ def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     to 5 and more letters, found by an equi-join on shared deletions and then measured; or, from three
     letters on, as the beginning of a word. Both sides are joined by keys, never each with each.
     """
-    t = tokens.where("length(token) <= 40").select("token", F.explode(_deletions(F.col("token"), _allowed(F.length("token") + 1))).alias("k"))
+    longest = vocabulary.agg(F.max(F.length("word")).alias("most"))
+    # two more letters than the longest word are beyond any distance
+    t = tokens.join(longest, F.length("token") <= F.col("most") + 2).select("token", F.explode(_deletions(F.col("token"), _allowed(F.length("token") + 1))).alias("k"))
     v = vocabulary.select("word", F.explode(_deletions(F.col("word"), _allowed(F.length("word")))).alias("k"))
     near = t.join(v, "k").select("token", "word").distinct()
     near = near.withColumn("d", F.levenshtein("token", "word")).where(F.col("d") <= _allowed(F.length("word")))
     near = near.select("token", "word", (1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
-    starts = vocabulary.where("length(word) > 3").select("word", F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("token"))
-    short = tokens.join(starts, "token").select("token", "word", F.lit(0.95).alias("sim"))
+    long = vocabulary.where("length(word) > 3")
+    starts = long.select("word", F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("token"))
+    short = tokens.join(starts, "token").select("token", "word", F.lit(BEGINNING).alias("sim"))
     return near.unionByName(short).groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
 
+def abbreviations(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, word, sim): words that a token may shorten, learned from the words themselves.
+
+    A token of up to three letters shortens a word that begins with its first letter and has its others
+    later on, in their order; one of three or more letters may be a part of a long word, or begin with the
+    three letters that a word of five or more begins with. All by keys that the vocabulary's words generate.
+    """
+    letters = F.transform(F.sequence(F.lit(2), F.length("word")), lambda i: F.substr("word", i, F.lit(1)))
+    first = F.substr("word", F.lit(1), F.lit(1))
+    two = F.transform("letters", lambda x: F.concat(first, x))
+    three = F.flatten(F.transform("letters", lambda x, i: F.transform(F.slice("letters", i + 2, F.size("letters")), lambda y: F.concat(first, x, y))))
+    some = vocabulary.where("length(word) > 1").withColumn("letters", letters)
+    keys = some.select("word", F.explode(F.array_distinct(F.concat(F.array(first), two, three))).alias("token"))
+    out = tokens.join(keys, "token").select("token", "word", F.lit(ABBREVIATION).alias("sim"))
+    cuts = F.flatten(F.transform(F.sequence(F.lit(2), F.length("word") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("word") - i + 1), lambda n: F.substr("word", i, n))))
+    parts = vocabulary.where("length(word) > 5").select("word", F.explode(F.array_distinct(cuts)).alias("token"))
+    out = out.unionByName(tokens.join(parts, "token").select("token", "word", F.lit(PART).alias("sim")))
+    stem = lambda c: F.substr(c, F.lit(1), F.lit(3)).alias("stem")
+    alike = tokens.where("length(token) between 4 and 6").select("token", stem("token")).join(vocabulary.where("length(word) >= 5").select("word", stem("word")), "stem")
+    out = out.unionByName(alike.select("token", "word", F.lit(ALIKE).alias("sim")))
+    return out.groupBy("token", "word").agg(F.max("sim").alias("sim"))
+
+
 def match(values: DataFrame, reference: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(value, code, score): the entry of ``reference`` that each distinct value means, or UNMATCHED.
 
     ``values``: value STRING; ``reference``: code, name, short_forms ARRAY<STRING>. Names are cut into
-    words; one-word short forms stand for the words of their entry's name, and so do fixed short
-    words. Distinct tokens are repaired against the reference's words. The score of an entry is the
+    words; one-word short forms stand for the words of their entry's name. Distinct tokens are repaired
+    against the reference's words, and what stands for none may shorten one (``abbreviations``). The score of an entry is the
     cosine of TF-IDF vectors in which a repaired token counts by its similarity; a token that repairs
     to nothing counts as a rare word against every entry, a number that an entry lacks counts not at
     all, and a value that matches by numbers only means none. Ties go to the smaller code. Null
@@ -121,15 +142,27 @@ def match(values: DataFrame, reference: DataFrame, threshold: float = 0.6) -> Da
     norms = weighted.groupBy("code").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm_e"))
     vocabulary = entry_words.select("word").distinct()
 
-    # what a token stands for as a whole: short forms of one word, fixed short words
-    codes = ref.select(F.explode("short_forms").alias("s"), "words").withColumn("t", tokens_of("s")).where("size(t) = 1").select(F.col("t")[0].alias("token"), F.explode("words").alias("word"))
-    fixed = spark.createDataFrame([(k, w) for k, ws in SHORT_WORDS.items() for w in ws.split()], "token string, word string")
+    # what a token stands for as a whole: short forms of one word, the letters of numbered ones, numerals
+    codes = ref.select(F.explode("short_forms").alias("s"), "words").withColumn("t", tokens_of("s")).where("size(t) = 1").select(F.col("t")[0].alias("token"), "words", F.explode("words").alias("word"))
+    fixed = spark.createDataFrame([(k, w) for k, ws in (NUMERALS | SYNONYMS).items() for w in ws.split()], "token string, word string")
+    # the letters of numbered codes stand for the words of their entries that are no numerals
+    base = codes.select(F.regexp_extract("token", "^([a-z]{2,})[0-9]+$", 1).alias("token"), "word").where((F.col("token") != "") & ~F.col("word").isin(*set(NUMERALS.values())))
+    fixed = fixed.unionByName(base.distinct())
     fixed = fixed.join(vocabulary, "word", "left_semi").join(codes.select("token").distinct(), "token", "left_anti")
-    whole = codes.unionByName(fixed).distinct()
+    whole = codes.select("token", "word").unionByName(fixed).distinct()
     distinct = toks.select("token").distinct()
     known = distinct.join(whole, "token").select("token", "word", F.lit(1.0).alias("sim"), F.lit(True).alias("whole"))
-    rest = distinct.join(whole.select("token").distinct(), "token", "left_anti")
-    mapped = scratch.save(known.unionByName(repair(rest, vocabulary).withColumn("whole", F.lit(False))), "mapped")
+    rest = scratch.save(distinct.join(whole.select("token").distinct(), "token", "left_anti"), "rest")
+    repaired = scratch.save(repair(rest, vocabulary), "repaired")
+    # a token that stands for no word yet may be a short form and one or two initials of its entry's words, or shorten a word
+    open_ = scratch.save(rest.join(repaired.select("token").distinct(), "token", "left_anti"), "open")
+    cut = open_.where("length(token) >= 3").select("token", F.explode(F.transform(F.array(F.lit(1), F.lit(2)), lambda i: F.substr("token", F.lit(1), F.length("token") - i))).alias("code"))
+    initials = lambda ws: F.transform(ws, lambda w: F.substr(w, F.lit(1), F.lit(1)))
+    longer = cut.where("length(code) >= 2").join(codes.select(F.col("token").alias("code"), "word", "words"), "code")
+    more = F.filter(F.split(F.substr("token", F.length("code") + 1), ""), lambda x: x != "")
+    longer = longer.where(F.size(F.array_except(more, initials(F.col("words")))) == 0).select("token", "word", F.lit(ABBREVIATION).alias("sim"), F.lit(True).alias("whole")).distinct()
+    shortened = abbreviations(open_.join(longer.select("token").distinct(), "token", "left_anti"), vocabulary)
+    mapped = scratch.save(known.unionByName(longer).unionByName(repaired.unionByName(shortened).withColumn("whole", F.lit(False))), "mapped")
 
     number = F.col("token").rlike("^[0-9]+$")
     hits = toks.join(mapped, "token", "left").join(idf.select("word", "idf"), "word", "left").join(n.select(F.log(1 + 2 * F.col("N")).alias("rare")), F.lit(True))
