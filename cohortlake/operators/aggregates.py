@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import scoring as S
+from cohortlake.operators.windows import null_safe_join, quantiles
+
+QUARTILES = {"median": 0.5, "iqr_lower": 0.25, "iqr_upper": 0.75}
 
 
 def burden(rois: DataFrame, thickness: DataFrame) -> DataFrame:
@@ -58,9 +61,8 @@ def lesion_aggregate(members: DataFrame) -> DataFrame:
 def profile(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Long table of n, n_used, n_nonzero, median and quartiles per group and column (linear percentiles)."""
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(*by, "x.*")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = long.groupBy(*by, "feature").agg(F.count("*").alias("n"), F.count("value").alias("n_used"), F.count_if(F.coalesce(F.col("value") != 0, F.lit(False))).alias("n_nonzero"), q.alias("q"))
-    return g.select(*by, "feature", "n", "n_used", "n_nonzero", F.col("q")[1].alias("median"), F.col("q")[0].alias("iqr_lower"), F.col("q")[2].alias("iqr_upper"))
+    g = long.groupBy(*by, "feature").agg(F.count("*").alias("n"), F.count("value").alias("n_used"), F.count_if(F.coalesce(F.col("value") != 0, F.lit(False))).alias("n_nonzero"))
+    return null_safe_join(g, quantiles(long, [*by, "feature"], "value", QUARTILES), [*by, "feature"], "left")
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -85,16 +87,18 @@ def fractions(df: DataFrame, by: str, label: str, labels: list) -> DataFrame:
 
 def category_table(df: DataFrame, by: list[str], score: str) -> DataFrame:
     """Per group: n, median, quartiles, and percentages of the closed score categories."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     cat = S.score_category(F.col(score))
     share = lambda v: 100.0 * F.count_if(F.coalesce(cat == v, F.lit(False))) / F.count("*")
-    g = df.groupBy(*by).agg(F.count("*").alias("n"), q.alias("q"), share("0").alias("pct_0"), share("1-99").alias("pct_1_99"), share("100-399").alias("pct_100_399"), share(">=400").alias("pct_400"))
-    return g.select(*by, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("iqr_lower"), F.col("q")[2].alias("iqr_upper"), "pct_0", "pct_1_99", "pct_100_399", "pct_400")
+    g = df.groupBy(*by).agg(F.count("*").alias("n"), share("0").alias("pct_0"), share("1-99").alias("pct_1_99"), share("100-399").alias("pct_100_399"), share(">=400").alias("pct_400"))
+    g = null_safe_join(g, quantiles(df, by, score, QUARTILES), by, "left")
+    return g.select(*by, "n", "median", "iqr_lower", "iqr_upper", "pct_0", "pct_1_99", "pct_100_399", "pct_400")
 
 
 def label_mapping(df: DataFrame, by: list[str], label: str, value: str) -> DataFrame:
     """Which of two labels is ``low`` by the median of ``value``, then by the mean; equal in both stays null."""
-    g = df.where(f"{label} is not null").groupBy(*by, label).agg(F.percentile(value, F.lit(0.5)).alias("med"), F.avg(value).alias("mean"), F.count("*").alias("n"))
+    d = df.where(F.col(label).isNotNull())
+    g = d.groupBy(*by, label).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    g = null_safe_join(g, quantiles(d, [*by, label], value, {"med": 0.5}), [*by, label])
     s = g.groupBy(*by).agg(F.count("*").alias("labels"), F.min(F.struct("med", "mean")).alias("lo"), F.max(F.struct("med", "mean")).alias("hi"), F.min_by(label, F.struct("med", "mean")).alias("low"), F.max_by(label, F.struct("med", "mean")).alias("high"), F.sum("n").alias("n"), F.min("n").alias("smallest"))
     clear = (F.col("labels") == 2) & (F.col("lo") < F.col("hi"))
     return s.select(*by, F.when(clear, F.col("low")).alias("low"), F.when(clear, F.col("high")).alias("high"), (F.col("smallest") / F.col("n")).alias("smallest_share"), ((F.col("labels") == 2) & (F.col("smallest") / F.col("n") > 0.15)).alias("balanced"))

@@ -28,16 +28,20 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], value: str, other:
 def range_edges(nodes: DataFrame, by: list[str], key: str, step: str, x: str, y: str, most_step: int, most_distance: float) -> DataFrame:
     """Pairs a < b of a group at most ``most_step`` apart in ``step`` and ``most_distance`` apart in x, y.
 
-    An equi-join on a grid of distance-wide cells and steps: each left row is sent to its 3 x 3
-    neighbouring cells and to the steps around its own, each right row to one.
+    An equi-join on blocks of four distances and eight steps: each right row is sent to its block, each
+    left row to the blocks it reaches, fewer than three on average; the left one comes first by step, then key.
     """
-    n = nodes.where(F.col(key).isNotNull() & F.col(step).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, key, step, x, y)
-    gx, gy = F.floor(F.col(x) / most_distance).cast("long"), F.floor(F.col(y) / most_distance).cast("long")
-    around = F.array(*[F.struct((gx + i).alias("gx"), (gy + j).alias("gy"), (F.col(step) + s).alias("gs")) for i in (-1, 0, 1) for j in (-1, 0, 1) for s in range(-most_step, most_step + 1)])
-    a = n.select(*by, F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.explode(around).alias("c")).select(*by, "a", "ax", "ay", "c.gx", "c.gy", "c.gs")
-    b = n.select(*by, F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by_"), gx.alias("gx"), gy.alias("gy"), F.col(step).alias("gs"))
-    near = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by_")) ** 2 <= most_distance**2
-    return a.join(b, [*by, "gx", "gy", "gs"]).where((F.col("a") < F.col("b")) & near).select(*by, "a", "b")
+    n = nodes.where(F.col(key).isNotNull() & F.col(step).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    steps, block, far = 8 * max(1, most_step), 4 * most_distance, most_distance * (1 + 1e-9)
+    at = lambda c, width: F.floor(c / width).cast("long")
+    n = n.select(*by, F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(step).cast("long").alias("s"))
+    reach = lambda c: F.explode(F.sequence(at(F.col(c) - far, block), at(F.col(c) + far, block)))
+    left = n.select(*by, F.col("k").alias("ak"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("s").alias("as_"), F.explode(F.sequence(at(F.col("s"), steps), at(F.col("s") + most_step, steps))).alias("bs"))
+    left = left.withColumn("bx", reach("ax")).withColumn("by_", reach("ay"))
+    right = n.select(*by, "s", at(F.col("s"), steps).alias("bs"), at(F.col("x"), block).alias("bx"), at(F.col("y"), block).alias("by_"), "k", "x", "y")
+    near = (F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 <= most_distance**2
+    near &= F.col("s").between(F.col("as_"), F.col("as_") + most_step) & ((F.col("as_") < F.col("s")) | (F.col("ak") < F.col("k")))
+    return left.join(right, [*by, "bs", "bx", "by_"]).where(near).select(*by, F.least("ak", "k").alias("a"), F.greatest("ak", "k").alias("b"))
 
 
 def discovery(left: DataFrame, right: DataFrame, key: str, excluded: list[str], reasons: list[tuple[Column, str]]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions import tails
-from cohortlake.operators.windows import average_rank
+from cohortlake.operators.windows import average_rank, null_safe_join, quantiles
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -47,8 +47,8 @@ def with_normal_p(df: DataFrame, z: str = "z", out: str = "p") -> DataFrame:
 def brown_forsythe(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """F of absolute deviations from the group medians, its degrees of freedom and p."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    med = d.groupBy(*by, group).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    dev = d.join(med, [*by, group]).withColumn("_d", F.abs(F.col(value) - F.col("_med")))
+    med = quantiles(d, [*by, group], value, {"_med": 0.5})
+    dev = null_safe_join(d, med, [*by, group]).withColumn("_d", F.abs(F.col(value) - F.col("_med")))
     per = dev.groupBy(*by, group).agg(F.count("*").alias("n"), F.avg("_d").alias("m"), F.var_pop("_d").alias("v"))
     s = per.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") ** 2).alias("sq"))
     between = F.col("sq") - F.col("n") * F.col("mean") ** 2

@@ -9,6 +9,7 @@ from cohortlake.operators import aggregates as A
 from cohortlake.operators import joins as J
 from cohortlake.operators import statistics as T
 from cohortlake.operators import windows as W
+from cohortlake.session import Scratch
 from cohortlake.sources import cohort as C
 
 QUERIES: dict = {}
@@ -32,6 +33,13 @@ def rounded(df, **places):
     return df.select(*[F.round(c, places.get(c, 6)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def median_difference(df, by, value, out):
+    """Median of the diffuse rows less that of the focal ones per group; null where a side is missing."""
+    med = W.quantiles(df.where(F.col("phenotype").isin("focal", "diffuse")), [*by, "phenotype"], value, {"m": 0.5})
+    of = lambda p: F.max(F.when(F.col("phenotype") == p, F.col("m")))
+    return W.null_safe_join(df.groupBy(*by).agg(F.lit(1).alias("_one")), med.groupBy(*by).agg((of("diffuse") - of("focal")).alias(out)), by, "left").drop("_one")
+
+
 def thickness(spark, d):
     return C.manifest(spark, d).select("pid", "slice_thickness")
 
@@ -52,7 +60,9 @@ def agatston_burden(spark, d):
 @query("risk_class_counts", BURDEN + f" select {RISK} risk, count(*) n, round(sum(total), 4) total, round(quantile_cont(total, 0.5), 6) median from b group by 1")
 def risk_class_counts(spark, d):
     b = A.burden(C.rois(spark, d), thickness(spark, d))
-    return b.groupBy("risk").agg(F.count("*").alias("n"), F.round(F.sum("total"), 4).alias("total"), F.round(F.percentile("total", F.lit(0.5)), 6).alias("median"))
+    b = Scratch(spark, "burden").save(b.select("risk", "total"), "burden")
+    g = b.groupBy("risk").agg(F.count("*").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    return rounded(W.null_safe_join(g, W.quantiles(b, ["risk"], "total", {"median": 0.5}), ["risk"]), total=4)
 
 
 @query("vessel_aggregates", """
@@ -193,23 +203,18 @@ def nearest_slice(spark, d):
     return rounded(J.nearest(q, s, ["pid"], "z", "sz", "slice_idx", F.col("tol"), "roi_id").select("roi_id", "matched", "distance"))
 
 
-@query("region_edges", """
-, q as (select pid, territory, roi_id, slice_idx, cx, cy from r where territory is not null and slice_idx is not null and cx is not null and cy is not null and pid <> 'QA-PHANTOM-1')
-select a.pid, a.territory, a.roi_id a, b.roi_id b from q a join q b on a.pid = b.pid and a.territory = b.territory and a.roi_id < b.roi_id and abs(a.slice_idx - b.slice_idx) <= 1 and (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 25""")
-def region_edges(spark, d):
-    """Regions of real patients that touch: one slice and five millimetres apart at most."""
-    q = C.rois(spark, d).where("territory is not null and pid <> 'QA-PHANTOM-1'")
-    return J.range_edges(q, ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0)
+EDGES = """
+, q as (select pid, territory, roi_id, slice_idx, cx, cy from r where territory is not null and slice_idx is not null and cx is not null and cy is not null)
+select a.pid, a.territory, a.roi_id a, b.roi_id b from q a join q b on a.pid = b.pid and a.territory = b.territory and a.roi_id < b.roi_id and abs(a.slice_idx - b.slice_idx) <= 1 and (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 25"""
 
 
-#: The filter in the SQL of region_edges and lesion_groups; the queries over all patients have the rest.
-REAL = " and pid <> 'QA-PHANTOM-1'"
+@query("region_edges", EDGES)
+def region_edges(spark, d):
+    """Regions that touch, of all patients: one slice and five millimetres apart at most."""
+    return J.range_edges(C.rois(spark, d).where("territory is not null"), ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0)
 
 
-@query("region_edges_all", SQL["region_edges"].replace(REAL, ""), tables=False)
-def region_edges_all(spark, d):
-    """Regions of all patients that touch, the calibration object's too, which holds a tenth of the rows."""
-    return J.range_edges(C.rois(spark, d).where("territory is not null"), ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0)
+query("region_edges_all", EDGES)(region_edges)  # the name under which all patients were asked for before
 
 
 @query("excluded_regions", """
@@ -261,7 +266,8 @@ p as (select cohort, vessel, max(v) filter (kernel = 'j28f/3') j, max(v) filter
 select cohort, vessel, round(j, 6) j, round(h, 6) h, round(b, 6) b, ((j is not null)::int + (h is not null)::int + (b is not null)::int)::int n_present, coalesce(j <> 0 and sign(j) = sign(h) and sign(j) = sign(b), false) same_sign from p""")
 def outer_consistency(spark, d):
     j = C.lesions(spark, d).where("cohort is not null").join(C.manifest(spark, d).select("pid", "kernel"), "pid")
-    g = j.groupBy("cohort", "kernel", "vessel").agg((F.percentile("volume_mm3", F.lit(0.5)) - 30).alias("v"))
+    j = j.where(F.col("kernel").isin("j28f/3", "hr32d/2", "b33f"))
+    g = W.quantiles(j, ["cohort", "kernel", "vessel"], "volume_mm3", {"v": 0.5}).withColumn("v", F.col("v") - 30)
     t = [(n, g.where(F.col("kernel") == k)) for n, k in (("j", "j28f/3"), ("h", "hr32d/2"), ("b", "b33f"))]
     return rounded(J.consistency(t, ["cohort", "vessel"], "v"))
 
@@ -485,8 +491,7 @@ def wilson_interval(spark, d):
 select feature, round(diff, 6) diff, sign(diff)::int observed, case when feature = 'max_hu_global' then 0 else 1 end predicted, coalesce(sign(diff)::int = case when feature = 'max_hu_global' then 0 else 1 end, false) matches from d""")
 def directional_table(spark, d):
     long = T.long_form(C.features(spark, d), ["phenotype"], PARTS)
-    med = lambda p: F.percentile(F.when(F.col("phenotype") == p, F.col("value")), F.lit(0.5))
-    g = long.groupBy("feature").agg((med("diffuse") - med("focal")).alias("diff"))
+    g = median_difference(long, ["feature"], "value", "diff")
     predicted = F.when(F.col("feature") == "max_hu_global", 0).otherwise(1)
     return rounded(g.select("feature", "diff", F.signum("diff").cast("int").alias("observed"), predicted.alias("predicted"), F.coalesce(F.signum("diff").cast("int") == predicted, F.lit(False)).alias("matches")))
 
@@ -498,8 +503,7 @@ s as (select cohort, tertile, quantile_cont(agatston_total, 0.5) filter (phenoty
 select cohort, count(*) n_tertiles, count(*) filter (hit) n_match, count(*) filter (hit) >= 2 replicated from s group by 1""")
 def stratified_replication(spark, d):
     t = W.tertile(C.features(spark, d), ["cohort"], "max_hu_global").where("tertile is not null")
-    med = lambda p: F.percentile(F.when(F.col("phenotype") == p, F.col("agatston_total")), F.lit(0.5))
-    s = t.groupBy("cohort", "tertile").agg((med("diffuse") > med("focal")).alias("hit"))
+    s = median_difference(t, ["cohort", "tertile"], "agatston_total", "diff").withColumn("hit", F.col("diff") > 0)
     n = F.count_if(F.coalesce("hit", F.lit(False)))
     return s.groupBy("cohort").agg(F.count("*").alias("n_tertiles"), n.alias("n_match"), (n >= 2).alias("replicated"))
 
@@ -516,15 +520,18 @@ def phenotype_carriers(spark, d):
 @query("acquisition_summary", """
 select kernel, count(slice_thickness) n, min(slice_thickness) min, round(quantile_cont(slice_thickness, 0.25), 6) q1, round(quantile_cont(slice_thickness, 0.5), 6) median, round(quantile_cont(slice_thickness, 0.75), 6) q3, max(slice_thickness) max from m group by 1""")
 def acquisition_summary(spark, d):
-    q = F.percentile("slice_thickness", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = C.manifest(spark, d).groupBy("kernel").agg(F.count("slice_thickness").alias("n"), F.min("slice_thickness").alias("min"), q.alias("q"), F.max("slice_thickness").alias("max"))
-    return rounded(g.select("kernel", "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max"))
+    m = C.manifest(spark, d)
+    g = m.groupBy("kernel").agg(F.count("slice_thickness").alias("n"), F.min("slice_thickness").alias("min"), F.max("slice_thickness").alias("max"))
+    return rounded(W.null_safe_join(g, W.quantiles(m, ["kernel"], "slice_thickness", {"q1": 0.25, "median": 0.5, "q3": 0.75}), ["kernel"]))
 
 
 @query("lesion_class_rollup", """
 , g as (select cohort, vessel, median(mean_hu_weighted) h, median(volume_mm3) v, count(*) n from l where cohort is not null group by 1, 2), k as (select *, case when h >= 500 then 'dense' when h <= 230 and v <= 15 then 'soft' else 'moderate' end c from g)
 select cohort, c as class, sum(n)::bigint n, round(log10(max(v) / greatest(min(v), 1e-9)), 6) log_range from k group by 1, 2""")
 def lesion_class_rollup(spark, d):
-    g = C.lesions(spark, d).where("cohort is not null").groupBy("cohort", "vessel").agg(F.percentile("mean_hu_weighted", F.lit(0.5)).alias("h"), F.percentile("volume_mm3", F.lit(0.5)).alias("v"), F.count("*").alias("n"))
+    les, by = C.lesions(spark, d).where("cohort is not null"), ["cohort", "vessel"]
+    g = les.groupBy(*by).agg(F.count("*").alias("n"))
+    for c, name in (("mean_hu_weighted", "h"), ("volume_mm3", "v")):
+        g = W.null_safe_join(g, W.quantiles(les, by, c, {name: 0.5}), by)
     k = g.withColumn("class", S.lesion_class(F.col("h"), F.col("v")))
     return rounded(k.groupBy("cohort", "class").agg(F.sum("n").alias("n"), F.log10(F.max("v") / F.greatest(F.min("v"), F.lit(1e-9))).alias("log_range")))

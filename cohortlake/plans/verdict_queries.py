@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import scoring as S
 from cohortlake.operators import aggregates as A
 from cohortlake.operators import graph, statistics as T, windows as W
-from cohortlake.plans.cohort_queries import BURDEN, LONG, PARTS, REAL, region_edges, rounded, thickness
+from cohortlake.plans.cohort_queries import BURDEN, LONG, PARTS, median_difference, rounded, thickness
 from cohortlake.session import Scratch
 from cohortlake.sources import cohort as C
 
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None, head: str = ""):
 
 
 EDGES = """
-, q as (select pid, territory, roi_id, slice_idx, cx, cy from r where territory is not null and slice_idx is not null and cx is not null and cy is not null and pid <> 'QA-PHANTOM-1'),
+, q as (select pid, territory, roi_id, slice_idx, cx, cy from r where territory is not null and slice_idx is not null and cx is not null and cy is not null),
 e as (select a.roi_id a, b.roi_id b from q a join q b on a.pid = b.pid and a.territory = b.territory and a.roi_id <> b.roi_id and abs(a.slice_idx - b.slice_idx) <= 1 and (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 25),
 reach as (select roi_id node, roi_id root from q union select e.b, reach.root from reach join e on reach.node = e.a),
 comp as (select node, min(root) root from reach group by 1)"""
@@ -40,19 +40,7 @@ comp as (select node, min(root) root from reach group by 1)"""
 select pid, territory, root lesion, count(*) n_rois, round(sum(a), 5) area_mm2, round(sum(a * th), 5) volume_mm3, max(max_hu) max_hu, count(distinct slice_idx) n_slices,
   round(coalesce(sum(a * cx) / nullif(sum(a), 0), avg(cx)), 5) cx, round(coalesce(sum(a * cy) / nullif(sum(a), 0), avg(cy)), 5) cy from j group by 1, 2, 3""", " recursive")
 def lesion_groups(spark, d):
-    """Regions that touch, directly or through others, as lesions with their centre, area and volume."""
-    q = C.rois(spark, d).where("territory is not null and slice_idx is not null and cx is not null and cy is not null and pid <> 'QA-PHANTOM-1'")
-    comp = graph.components(region_edges(spark, d))
-    j = q.join(comp, q["roi_id"] == comp["node"], "left").withColumn("lesion", F.coalesce("root", "roi_id")).join(thickness(spark, d), "pid", "left")
-    j = j.withColumns({"area_mm2": F.coalesce("area_cm2", F.lit(0.0)) * 100, "slice_thickness": F.coalesce("slice_thickness", F.lit(0.0)), "roi_idx": F.col("roi_idx_in_slice")})
-    g = A.lesion_aggregate(j)
-    t = j.select(F.col("lesion").alias("_l"), "territory").distinct()
-    g = g.join(t, g["lesion"] == t["_l"]).select("pid", "territory", "lesion", "n_rois", "area_mm2", "volume_mm3", "max_hu", F.size("slices").cast("long").alias("n_slices"), "cx", "cy")
-    return rounded(g, area_mm2=5, volume_mm3=5, cx=5, cy=5)
-
-
-def lesion_groups_all(spark, d):
-    """``lesion_groups`` over all patients; a lesion may hold most of a dense patient, so none is a list."""
+    """Regions that touch, directly or through others, as lesions with their centre, area and volume; a lesion may hold most of a dense patient, so none is a list."""
     q = C.rois(spark, d).where("territory is not null and slice_idx is not null and cx is not null and cy is not null")
     q = Scratch(spark, "lesions").save(q.select("pid", "territory", "roi_id", "slice_idx", "cx", "cy", "area_cm2", "max_hu"), "regions")
     comp = graph.components(graph.touch_edges(q, ["pid", "territory"], "roi_id", "slice_idx", "cx", "cy", 1, 5.0))
@@ -63,7 +51,7 @@ def lesion_groups_all(spark, d):
     return rounded(g, area_mm2=5, volume_mm3=5, cx=5, cy=5)
 
 
-QUERIES["lesion_groups_all"], SQL["lesion_groups_all"] = lesion_groups_all, SQL["lesion_groups"].replace(REAL, "")
+QUERIES["lesion_groups_all"], SQL["lesion_groups_all"] = lesion_groups, SQL["lesion_groups"]  # the name under which all patients were asked for before
 
 
 @query("sentinel_audit", LONG + """
@@ -122,9 +110,11 @@ def cohort_fingerprint(spark, d):
 select tertile, territory, count(*) n, round(avg(mean_hu), 5) mean_hu, round(quantile_cont(area_cm2, 0.5), 6) median_area from r join t using (pid) where territory is not null group by 1, 2""")
 def class_by_tertile(spark, d):
     b = A.burden(C.rois(spark, d), thickness(spark, d)).withColumn("all", F.lit(1))
-    t = W.tertile(b, ["all"], "total").select("pid", "tertile")
-    g = C.rois(spark, d).where("territory is not null").join(t, "pid").groupBy("tertile", "territory")
-    return rounded(g.agg(F.count("*").alias("n"), F.avg("mean_hu").alias("mean_hu"), F.percentile("area_cm2", F.lit(0.5)).alias("median_area")), mean_hu=5)
+    s = Scratch(spark, "tertiles")
+    t = W.tertile(s.save(b, "burden"), ["all"], "total").select("pid", "tertile")
+    j, by = s.save(C.rois(spark, d).where("territory is not null").join(t, "pid").select("tertile", "territory", "mean_hu", "area_cm2"), "regions"), ["tertile", "territory"]
+    g = j.groupBy(*by).agg(F.count("*").alias("n"), F.avg("mean_hu").alias("mean_hu"))
+    return rounded(W.null_safe_join(g, W.quantiles(j, by, "area_cm2", {"median_area": 0.5}), by), mean_hu=5)
 
 
 @query("signed_effect_pivot", LONG + """
@@ -132,8 +122,7 @@ def class_by_tertile(spark, d):
 select feature, round(avg(sign(s)), 6) mean_sign, round(avg(abs(s)), 5) mean_abs, count(s) n from g group by 1""")
 def signed_effect_pivot(spark, d):
     x = T.long_form(C.features(spark, d), ["cohort", "phenotype"], PARTS)
-    med = lambda p: F.percentile(F.when(F.col("phenotype") == p, F.col("value")), F.lit(0.5))
-    g = x.groupBy("cohort", "feature").agg((med("diffuse") - med("focal")).alias("s"))
+    g = median_difference(x, ["cohort", "feature"], "value", "s")
     return rounded(g.groupBy("feature").agg(F.avg(F.signum("s")).alias("mean_sign"), F.avg(F.abs("s")).alias("mean_abs"), F.count("s").alias("n")), mean_abs=5)
 
 
@@ -149,8 +138,7 @@ def modal_vote(spark, d):
 def empirical_distribution(spark, d):
     f = C.features(spark, d).where("agatston_total is not null")
     n = f.groupBy("cohort").agg(F.count("*").alias("n"))
-    i = F.row_number().over(Window.partitionBy("cohort").orderBy("agatston_total", "pid"))
-    return rounded(f.join(n, "cohort").select("pid", (i / F.col("n")).alias("ecdf")))
+    return rounded(W.ordered_place(f, ["cohort"], "agatston_total", "pid").join(n, "cohort").select("pid", (F.col("place") / F.col("n")).alias("ecdf")))
 
 
 @query("displacement_flag", """
@@ -197,8 +185,8 @@ def representative_pick(spark, d):
 select coalesce(a.cohort, b.cohort) cohort, coalesce(a.vessel, b.vessel) vessel, round(y - x, 6) shift, coalesce(abs(y - x) <= 0.1 * x, false) replicated from a full join b on a.cohort is not distinct from b.cohort and a.vessel is not distinct from b.vessel""")
 def run_compare(spark, d):
     """Two halves of the lesions as two runs: shift of medians and whether they agree within a tenth."""
-    half = lambda i, n: C.lesions(spark, d).where(f"lesion_id % 2 = {i}").groupBy("cohort", "vessel").agg(F.percentile("volume_mm3", F.lit(0.5)).alias(n))
-    a, b = half(0, "x"), half(1, "y")
+    half = lambda i: C.lesions(spark, d).where(f"lesion_id % 2 = {i}")
+    a, b = (W.quantiles(half(i), ["cohort", "vessel"], "volume_mm3", {n: 0.5}) for i, n in ((0, "x"), (1, "y")))
     same = a["cohort"].eqNullSafe(b["cohort"]) & a["vessel"].eqNullSafe(b["vessel"])
     j = a.join(b, same, "full")
     return rounded(j.select(F.coalesce(a["cohort"], b["cohort"]).alias("cohort"), F.coalesce(a["vessel"], b["vessel"]).alias("vessel"), (F.col("y") - F.col("x")).alias("shift"), F.coalesce(F.abs(F.col("y") - F.col("x")) <= 0.1 * F.col("x"), F.lit(False)).alias("replicated")))
