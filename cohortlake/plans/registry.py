@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlake.operators import nested
 from cohortlake.operators.imaging import mask_report
-from cohortlake.plans import cohort_queries, model_queries, verdict_queries
+from cohortlake.plans import cohort_queries, model_queries, pipeline_queries, verdict_queries
 from cohortlake.streaming import events
 
 def region_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,12 @@ def region_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = cohort_queries.QUERIES | verdict_queries.QUERIES | model_queries.QUERIES | {
+QUERIES: dict[str, Query] = cohort_queries.QUERIES | verdict_queries.QUERIES | pipeline_queries.QUERIES | model_queries.QUERIES | {
     "p3_found": nested.p3_found,
     "p3_points": nested.p3_points,
     "region_masks": region_masks,
     "event_windows": events.event_windows,
 }
-SQL: dict[str, str] = cohort_queries.SQL | verdict_queries.SQL | {
+SQL: dict[str, str] = cohort_queries.SQL | verdict_queries.SQL | pipeline_queries.SQL | {
     "event_windows": "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as begin, event_type, count(*) n, round(sum(value), 4) total from events where ts is not null group by 1, 2",
 }
