@@ -1,4 +1,4 @@
-"""Pixels of outlines and small per-slice image transforms; one region or slice is one row of work."""
+"""Pixels of outlines; one region is one row of work, bounded by the image."""
 
 from __future__ import annotations
 
@@ -12,24 +12,28 @@ from pyspark.sql import functions as F
 from cohortlake.functions.scoring import polygon_area_centroid
 
 
-def fill_polygon(xs: np.ndarray, ys: np.ndarray, fraction_bits: int = 4) -> np.ndarray:
-    """(row, column) of pixels whose centre lies in or on a polygon, vertices rounded to 1/16 pixel."""
+def fill_polygon(xs: np.ndarray, ys: np.ndarray, width: int = 512, height: int = 512, fraction_bits: int = 4) -> np.ndarray:
+    """(row, column) of an image's pixels whose centre lies in or on a polygon, vertices rounded to 1/16 pixel.
+
+    Only rows and columns of the image are walked, however far a stray vertex lies outside.
+    """
     unit = 1 << fraction_bits
     x, y = np.rint(np.asarray(xs, dtype=float) * unit), np.rint(np.asarray(ys, dtype=float) * unit)
     if len(x) < 3:
         return np.empty((0, 2), dtype=int)
     out = []
     x2, y2 = np.roll(x, -1), np.roll(y, -1)
-    for r in range(int(np.ceil(y.min() / unit)), int(np.floor(y.max() / unit)) + 1):
+    span = lambda a, b: range(max(0, int(np.ceil(a / unit - 1e-9))), min(width - 1, int(np.floor(b / unit + 1e-9))) + 1)
+    for r in range(max(0, int(np.ceil(y.min() / unit))), min(height - 1, int(np.floor(y.max() / unit))) + 1):
         t = r * unit
         on = set()
         cut = (y <= t) != (y2 <= t)
         at = np.sort(x[cut] + (t - y[cut]) * (x2[cut] - x[cut]) / (y2[cut] - y[cut]))
         for a, b in zip(at[::2], at[1::2]):
-            on.update(range(int(np.ceil(a / unit - 1e-9)), int(np.floor(b / unit + 1e-9)) + 1))
+            on.update(span(a, b))
         for a, b in zip(x[(y == t) & (y2 == t)], x2[(y == t) & (y2 == t)]):  # edges along the row belong to it
-            on.update(range(int(np.ceil(min(a, b) / unit)), int(np.floor(max(a, b) / unit)) + 1))
-        on.update(int(v // unit) for v in x[y == t] if v % unit == 0)
+            on.update(span(min(a, b), max(a, b)))
+        on.update(int(v // unit) for v in x[y == t] if v % unit == 0 and 0 <= v < width * unit)
         out += [(r, c) for c in sorted(on)]
     return np.array(out, dtype=int).reshape(-1, 2)
 
@@ -45,8 +49,7 @@ def masks(outlines: DataFrame, keys: list[str], width: int = 512, height: int =
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 pts = row[len(keys)]
-                px = fill_polygon([p["x"] for p in pts], [p["y"] for p in pts])
-                px = px[(px[:, 0] >= 0) & (px[:, 0] < height) & (px[:, 1] >= 0) & (px[:, 1] < width)]
+                px = fill_polygon([p["x"] for p in pts], [p["y"] for p in pts], width, height)
                 if len(px):
                     yield pd.DataFrame({**{k: row[i] for i, k in enumerate(keys)}, "row": px[:, 0].astype("int32"), "col": px[:, 1].astype("int32")})
 
@@ -63,66 +66,3 @@ def mask_report(outlines: DataFrame, keys: list[str]) -> DataFrame:
     j = outlines.withColumn("g", area).join(count, keys, "left").withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0)))
     why = F.when(F.size("points") < 3, "too_few_points").when(F.col("n_pixels") == 0, "outside_or_thin")
     return j.select(*keys, F.size("points").alias("n_points"), F.col("g.area").alias("area_px"), F.col("g.x").alias("cx"), F.col("g.y").alias("cy"), "n_pixels", why.alias("skipped"))
-
-
-def rotate(image: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarray:
-    """Rotation about the middle of a slice with linear interpolation."""
-    a = np.deg2rad(degrees)
-    h, w = image.shape
-    yy, xx = np.mgrid[:h, :w].astype(float)
-    cy, cx = (h - 1) / 2, (w - 1) / 2
-    return sample(image, np.cos(a) * (yy - cy) - np.sin(a) * (xx - cx) + cy, np.sin(a) * (yy - cy) + np.cos(a) * (xx - cx) + cx, fill)
-
-
-def translate(image: np.ndarray, dy: float, dx: float, fill: float = 0.0) -> np.ndarray:
-    yy, xx = np.mgrid[: image.shape[0], : image.shape[1]].astype(float)
-    return sample(image, yy - dy, xx - dx, fill)
-
-
-def sample(image: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float) -> np.ndarray:
-    """Linear interpolation at fractional places; places outside the image get ``fill``."""
-    h, w = image.shape
-    y, x = np.round(y, 9), np.round(x, 9)
-    inside = (y >= 0) & (y <= h - 1) & (x >= 0) & (x <= w - 1)
-    y0, x0 = np.clip(np.floor(y).astype(int), 0, max(h - 2, 0)), np.clip(np.floor(x).astype(int), 0, max(w - 2, 0))
-    fy, fx = y - y0, x - x0
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    v = (1 - fy) * ((1 - fx) * image[y0, x0] + fx * image[y0, x1]) + fy * ((1 - fx) * image[y1, x0] + fx * image[y1, x1])
-    return np.where(inside, v, fill)
-
-
-def noise(image: np.ndarray, sigma: float, seed: int, low: float = -1024, high: float = 3071) -> np.ndarray:
-    return np.clip(image + np.random.default_rng(seed).normal(0, sigma, image.shape), low, high)
-
-
-# fixed values: the fourteen disturbances of a reliability run
-PERTURBATIONS = (
-    [(f"rot_{d:+d}", "rotate", float(d), 0.0) for d in (-5, -3, 3, 5)]
-    + [(f"move_{y:+d}_{x:+d}", "translate", float(y), float(x)) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]
-    + [(f"noise_{s}", "noise", float(s), 0.0) for s in (5, 10)]
-)
-
-
-def perturb(slices: DataFrame) -> DataFrame:
-    """Every slice under every disturbance: ``slices`` has pid, slice_idx, height, width, pixels ARRAY<DOUBLE>.
-
-    The seed of noise is a hash of pid, slice and strength, so results do not depend on partitions. A
-    slice that fails gives a row with its error.
-    """
-    spark = slices.sparkSession
-    spec = spark.createDataFrame(PERTURBATIONS, "perturbation string, kind string, a double, b double")
-    work = slices.join(F.broadcast(spec), F.lit(True)).withColumn("seed", F.pmod(F.xxhash64("pid", "slice_idx", "a"), F.lit(2**31 - 1)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    img = np.asarray(r.pixels, dtype=float).reshape(r.height, r.width)
-                    img = rotate(img, r.a) if r.kind == "rotate" else translate(img, r.a, r.b) if r.kind == "translate" else noise(img, r.a, int(r.seed))
-                    out.append((r.pid, r.slice_idx, r.perturbation, img.ravel(), None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((r.pid, r.slice_idx, r.perturbation, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=["pid", "slice_idx", "perturbation", "pixels", "error"])
-
-    return work.mapInPandas(run, "pid string, slice_idx int, perturbation string, pixels array<double>, error string")

@@ -402,8 +402,11 @@ def redundancy(df: DataFrame, columns: list[str], key: str, least_gap: float = 0
     return df.sparkSession.createDataFrame([(c, names[x], c == first[x]) for c, x in zip(columns, label)], "feature string, cluster int, representative boolean")
 
 
-def caliper_match(cases: DataFrame, controls: DataFrame, by: list[str], key: str, value: str, caliper: float, ratio: int, scratch) -> DataFrame:
-    """(case, control): each case in ascending order takes its up to ``ratio`` nearest free controls.
+def caliper_match(cases: DataFrame, controls: DataFrame, by: list[str], key: str, value: str, caliper: float, ratio: int, scratch, drawn: bool = False) -> DataFrame:
+    """(case, control): each case in turn takes its up to ``ratio`` nearest free controls.
+
+    Turns are in ascending order of the key or, with ``drawn``, in the order of a hash of it, in which
+    the number of rounds grows with the logarithm of the rows and not with the rows.
 
     Candidates come from an equi-join on caliper-wide cells. A round settles every case that is the
     first open case among the candidates of each control it would take, which is what taking turns
@@ -418,7 +421,8 @@ def caliper_match(cases: DataFrame, controls: DataFrame, by: list[str], key: str
     cand = scratch.save(a.join(b, [*by, "cell"]).where(d <= caliper).select("case", "control", d.alias("d")), "candidates")
     taken = None
     while not cand.isEmpty():
-        first = cand.groupBy("control").agg(F.min("case").alias("first"))
+        turn = (lambda c: F.struct(F.xxhash64(F.lit(42), c), F.col(c))) if drawn else F.col
+        first = cand.groupBy("control").agg(F.min_by("case", turn("case")).alias("first"))
         nearest = cand.withColumn("i", F.row_number().over(Window.partitionBy("case").orderBy("d", "control"))).where(F.col("i") <= ratio)
         ready = nearest.join(first, "control").groupBy("case").agg(F.bool_and(F.col("first") == F.col("case")).alias("ok")).where("ok").select("case")
         got = scratch.save(nearest.join(ready, "case", "left_semi").select("case", "control"), "taken")
@@ -427,3 +431,40 @@ def caliper_match(cases: DataFrame, controls: DataFrame, by: list[str], key: str
         old, cand = cand, scratch.save(rest, "candidates")
         scratch.drop(old)
     return taken if taken is not None else cand.select("case", "control")
+
+
+class Frozen:
+    """Scaling, components to a share of the variance and a mixture of two, fitted on training rows; ``predict`` never fits again."""
+
+    def __init__(self, train: DataFrame, columns: list[str], share: float = 0.85, parts: int = 2, seed: int = 42, steps: int = 20):
+        from pyspark.ml.clustering import GaussianMixture
+
+        self.columns = columns
+        n, self.mean, cov = gram(train, columns)
+        var = np.diag(cov) * n / max(n - 1, 1)
+        self.sd = np.where(var > 0, np.sqrt(np.maximum(var, 1e-300)), 1.0)
+        values, vectors = np.linalg.eigh(cov / np.outer(self.sd, self.sd))
+        order = np.argsort(values)[::-1]
+        k = int(np.searchsorted(np.cumsum(values[order]) / max(values.sum(), 1e-300), share - 1e-12)) + 1
+        load = vectors[:, order[:k]].T
+        sign = np.sign(load[np.arange(len(load)), np.abs(load).argmax(axis=1)])
+        self.load = load * np.where(sign == 0, 1, sign)[:, None]
+        self.names = [f"pc{i + 1}" for i in range(len(self.load))]
+        self.model = GaussianMixture(k=parts, seed=seed, maxIter=steps).fit(self._vectors(self.project(train)))
+        self.means = np.array([np.asarray(g.mean) for g in self.model.gaussians])
+
+    def project(self, df: DataFrame) -> DataFrame:
+        """Complete rows with their scores."""
+        z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.sd)]
+        return df.na.drop(subset=self.columns).withColumns({n: sum((x * float(v) for x, v in zip(z, row)), F.lit(0.0)) for n, row in zip(self.names, self.load)})
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        return VectorAssembler(inputCols=self.names, outputCol="features").transform(df)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Complete rows with scores, label and the distance to each part's mean."""
+        out = self.model.transform(self._vectors(self.project(df))).withColumnRenamed("prediction", "label")
+        far = lambda m: F.sqrt(sum(((F.col(n) - float(v)) ** 2 for n, v in zip(self.names, m)), F.lit(0.0)))
+        return out.withColumns({f"distance_{i}": far(m) for i, m in enumerate(self.means)}).drop("features", "probability")

@@ -25,16 +25,16 @@ AREAS = ("area_cm2", "Area")
 _MARKS = "\ufeff \t\r\n\u00a0"
 
 
-def _opened(value, depth: int = 4):
-    """JSON text inside a string is opened where it holds an object, a list or such text again."""
-    while isinstance(value, str) and depth and value.strip(_MARKS)[:1] in ("[", "{", '"'):
+def _opened(value):
+    """JSON text inside a string is opened where it holds an object, a list or such text again, as deep as it goes (each layer is shorter)."""
+    while isinstance(value, str) and value.strip(_MARKS)[:1] in ("[", "{", '"'):
         try:
             inner = json.loads(value.strip(_MARKS))
         except (ValueError, RecursionError):
             return value
         if not isinstance(inner, (dict, list, str)):
             return value
-        value, depth = inner, depth - 1
+        value = inner
     return value
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.functions.scoring import kernel_key
 from cohortlake.operators import multivariate as M
 from cohortlake.operators import statistics as T
 from cohortlake.operators.windows import average_rank
@@ -103,7 +102,7 @@ def caliper_match(spark, d):
     f = C.features(spark, d).where("agatston_total is not null").select("pid", "kernel", "phenotype", F.log1p("agatston_total").alias("burden"))
     f = Scratch(spark, "match").save(f, "burden")
     sd = f.agg(F.stddev_samp("burden")).first()[0] or 1.0
-    return M.caliper_match(f.where("phenotype = 'focal'"), f.where("phenotype = 'diffuse'"), ["kernel"], "pid", "burden", 0.2 * sd, 3, Scratch(spark, "match"))
+    return M.caliper_match(f.where("phenotype = 'focal'"), f.where("phenotype = 'diffuse'"), ["kernel"], "pid", "burden", 0.2 * sd, 3, Scratch(spark, "match"), drawn=True)
 
 
 def folds(spark, d, k: int = 10, blocks: int = 64):
@@ -113,46 +112,67 @@ def folds(spark, d, k: int = 10, blocks: int = 64):
     return blocked_cumsum(m, ["kernel"], ["draw", "pid"], block, F.lit(1), "place", blocks).select("pid", "kernel", (F.col("place") % k).cast("int").alias("fold"))
 
 
+RAW = ["volume_mm3", "total_area_mm2", "mean_hu_weighted", "max_hu"]
+
+
+def _raw_lesions(spark, d):
+    """Lesions with sizes on a log scale and intensities as they are; nothing is fitted here."""
+    les = C.lesions(spark, d)
+    return les.select("lesion_id", "pid", *[F.log1p(F.greatest(c, F.lit(0.0))).alias(c) for c in RAW[:2]], *RAW[2:]).na.drop()
+
+
 def leave_k_out(spark, d, k: int = 5):
-    """Per fold: agreement of labels from a model without the fold with those of the model of all rows."""
+    """Per kernel-stratified fold: agreement of labels from scaling, components and mixture fitted without the fold with those fitted on all rows; and their median."""
     s = Scratch(spark, "folds")
-    x = s.save(lesion_matrix(spark, d).withColumn("fold", F.pmod(F.xxhash64("pid"), F.lit(k)).cast("int")), "rows")
-    model, rows = M.kmeans(x, COLUMNS, 2)
-    full = model.transform(rows).select("lesion_id", "fold", "features", F.col("prediction").alias("a"))
+    x = s.save(_raw_lesions(spark, d).join(folds(spark, d, k).select("pid", "fold"), "pid"), "rows")
+    full = s.save(M.Frozen(x, RAW).predict(x).select("lesion_id", "fold", F.col("label").alias("a")), "full")
     out = None
     for i in range(k):
-        part, _ = M.kmeans(x.where(F.col("fold") != i), COLUMNS, 2)
-        t = part.transform(full.where(F.col("fold") == i)).select("fold", "a", F.col("prediction").alias("b"))
-        r = T.adjusted_rand(t, ["fold"], "a", "b")
-        out = r if out is None else out.unionByName(r)
-    return out.withColumn("passes", F.col("ari") >= 0.8)
+        held = M.Frozen(x.where(F.col("fold") != i), RAW).predict(x.where(F.col("fold") == i)).select("lesion_id", F.col("label").alias("b"))
+        t = T.adjusted_rand(full.where(F.col("fold") == i).join(held, "lesion_id"), ["fold"], "a", "b")
+        out = t if out is None else out.unionByName(t)
+    out = s.save(out.withColumn("passes", F.col("ari") >= 0.8), "agreement")
+    whole = out.agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), F.median("ari").alias("ari"))  # of k rows
+    return out.select("fold", "n", "ari", "passes").unionByName(whole.withColumn("passes", F.col("ari") >= 0.8))
+
+
+def holdout_report(spark, d):
+    """Lesions of kernels with under a tenth of the scans, scored and labelled by what was fitted on the others, with the distance to each mean."""
+    s = Scratch(spark, "holdout")
+    m = C.manifest(spark, d).select("pid", "kernel")
+    n = m.groupBy("kernel").count()
+    common = n.join(n.agg(F.sum("count").alias("all")), F.lit(True)).select("kernel", (F.col("count") >= 0.1 * F.col("all")).alias("inside"))
+    x = s.save(_raw_lesions(spark, d).join(m, "pid").join(common, "kernel"), "rows")
+    fit = M.Frozen(x.where("inside"), RAW)
+    out = fit.predict(x.where("not inside"))
+    return out.select("lesion_id", "kernel", *[F.round(c, 6).alias(c) for c in (*fit.names, "distance_0", "distance_1")], "label")
 
 
 def holdout_projection(spark, d):
-    """Scans of the rare kernels, projected and labelled by what was fitted on the two common kernels only."""
-    les = C.lesions(spark, d).where("size(scores) = 6")
-    j = les.join(C.manifest(spark, d).select("pid", kernel_key(F.col("kernel")).alias("kernel")), "pid")
-    cols = ["mean_hu_weighted", "max_hu", "volume_mm3"]
-    j = Scratch(spark, "holdout").save(j.select("lesion_id", "kernel", *cols).na.drop(), "rows")
-    inside = F.col("kernel").isin("j28f/3", "hr32d/2")
-    stats = j.where(inside).agg(*[a for c in cols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
-    z = j.withColumns({c: (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in cols})
-    load, _ = M.components(z.where(inside), cols, 2)
-    model, _ = M.kmeans(M.project(z.where(inside), cols, load), ["pc1", "pc2"], 2)
-    from pyspark.ml.feature import VectorAssembler
+    """The scores and labels of ``holdout_report``."""
+    h = holdout_report(spark, d)
+    return h.select("lesion_id", "kernel", *[c for c in h.columns if c.startswith("pc")], "label")
+
 
-    rest = VectorAssembler(inputCols=["pc1", "pc2"], outputCol="features").transform(M.project(z.where(~inside), cols, load))
-    return model.transform(rest).select("lesion_id", "kernel", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"), F.col("prediction").alias("label"))
+def top_loadings(spark, d, top: int = 3):
+    """The columns with the largest absolute loadings of each component, ties by name."""
+    from cohortlake.operators.windows import top_n
+
+    return top_n(pca_loadings(spark, d), ["pc"], [F.desc(F.abs("loading")), "feature"], top)
 
 
 def contrast_with_p(spark, d):
     """Rank contrasts of the phenotypes with their p-values and step-up adjustment."""
     from cohortlake.operators.windows import benjamini_hochberg
-    from cohortlake.plans.cohort_queries import PARTS
+    from cohortlake.plans.cohort_queries import PARTS, rounded
 
-    long = T.long_form(C.features(spark, d), ["cohort", "phenotype"], PARTS)
+    long = T.long_form(C.features(spark, d).where("cohort is not null"), ["cohort", "phenotype"], PARTS)
     c = T.with_normal_p(T.rank_contrast(long, ["cohort", "feature"], "phenotype", "focal", "diffuse", "value"))
-    return benjamini_hochberg(c, ["cohort"], "p", "feature")
+    return rounded(benjamini_hochberg(c, ["cohort"], "p", "feature"), z=5)
+
 
+QUERIES = {f.__name__: f for f in (pca_scores, pca_loadings, kmeans_labels, gaussian_labels, hopkins, gap_statistic, gap_selected_k, hennig_jaccard, consensus_pac, combat_kernels, yeo_johnson_fit, rank_fallback, redundancy_representatives, caliper_match, folds, leave_k_out, holdout_report, holdout_projection, top_loadings, contrast_with_p)}
 
-QUERIES = {f.__name__: f for f in (pca_scores, pca_loadings, kmeans_labels, gaussian_labels, hopkins, gap_statistic, gap_selected_k, hennig_jaccard, consensus_pac, combat_kernels, yeo_johnson_fit, rank_fallback, redundancy_representatives, caliper_match, folds, leave_k_out, holdout_projection, contrast_with_p)}
+SQL = {
+    "rank_fallback": "with" + C.SQL_TABLES + """select lesion_id, (rank() over (order by volume_mm3) + (count(*) over (partition by volume_mm3) - 1) / 2) / count(*) over () ecdf from l where volume_mm3 is not null""",
+}

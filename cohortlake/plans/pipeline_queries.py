@@ -354,3 +354,20 @@ def r2_gate(spark, d):
     """(candidate, r2, kept): how far the territories' scores explain each derived column."""
     f = C.features(spark, d).select(*PARTS, F.col("n_calcified_arteries").cast("double").alias("arteries"), (F.col("agatston_lad") + 2 * F.col("agatston_rca")).alias("sum_part")).na.drop()
     return spark.createDataFrame(P.r2_gate(f, PARTS[:4], ["sum_part", "agatston_total", "max_hu_global", "arteries"]), "candidate string, r2 double, kept boolean")
+
+
+SQL["contrast_with_p"] = "with" + C.SQL_TABLES + LONG + """
+, d as (select cohort, feature, phenotype g, v from x where v is not null and phenotype in ('focal', 'diffuse') and cohort is not null),
+k as (select *, rank() over (partition by cohort, feature order by v) + (count(*) over (partition by cohort, feature, v) - 1) / 2 r, count(*) over (partition by cohort, feature, v) t from d),
+a as (select cohort, feature, count(*) filter (g = 'focal') n_a, count(*) filter (g = 'diffuse') n_b, coalesce(sum(r) filter (g = 'focal'), 0) ra, sum(t * t - 1.0) ties from k group by 1, 2),
+u as (select cohort, feature, n_a, n_b, case when n_a > 0 and n_b > 0 then ra - n_a * (n_a + 1) / 2 end u, n_a * n_b / 12 * ((n_a + n_b + 1) - ties / nullif((n_a + n_b) * (n_a + n_b - 1.0), 0)) var from a),
+c as (select *, 2 * u / nullif(n_a * n_b, 0) - 1 cliffs_delta, case when u is null then null when var <= 0 then 0 else sign(u - n_a * n_b / 2) * greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sqrt(var) end z from u),
+p as (select *, """ + NORMAL_P + """ p from c), q as (select *, row_number() over (partition by cohort order by p, feature) r, count(*) over (partition by cohort) m from p where p is not null)
+select cohort, feature, n_a, n_b, round(u, 6) u, round(cliffs_delta, 6) cliffs_delta, round(z, 5) z, round(p, 6) p, round(least(1, min(p * m / r) over (partition by cohort order by r desc)), 6) p_adjusted from q"""
+
+#: One-sided exact test of the 2 x 2 tables of fisher_tables: the chances of as many and more cases, given the margins.
+SQL["fisher_tests"] = "with" + C.SQL_TABLES + """
+, t as (select cohort, count(*) filter (agatston_lm > 0 and phenotype = 'diffuse') a, count(*) filter (agatston_lm > 0 and phenotype = 'focal') b, count(*) filter (agatston_lm = 0 and phenotype = 'diffuse') c, count(*) filter (agatston_lm = 0 and phenotype = 'focal') d from f group by 1),
+k as (select *, unnest(range(a, least(a + b, a + c) + 1)) k from t), lc as (select *, a + b r, a + c s, a + b + c + d n from k),
+p as (select cohort, sum(case when s - k <= n - r then exp(lgamma(r + 1) - lgamma(k + 1) - lgamma(r - k + 1) + lgamma(n - r + 1) - lgamma(s - k + 1) - lgamma(n - r - s + k + 1) - lgamma(n + 1) + lgamma(s + 1) + lgamma(n - s + 1)) else 0 end) p from lc group by 1)
+select t.cohort, a, b, c, d, round(least(1, coalesce(p, 0)), 9) p from t left join p on t.cohort is not distinct from p.cohort"""

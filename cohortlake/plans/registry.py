@@ -29,6 +29,6 @@ QUERIES: dict[str, Query] = cohort_queries.QUERIES | verdict_queries.QUERIES | p
     "region_masks": region_masks,
     "event_windows": events.event_windows,
 }
-SQL: dict[str, str] = cohort_queries.SQL | verdict_queries.SQL | pipeline_queries.SQL | {
+SQL: dict[str, str] = cohort_queries.SQL | verdict_queries.SQL | pipeline_queries.SQL | model_queries.SQL | {
     "event_windows": "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as begin, event_type, count(*) n, round(sum(value), 4) total from events where ts is not null group by 1, 2",
 }

@@ -162,7 +162,7 @@ def fisher_tables(spark, d):
 def fisher_tests(spark, d):
     from cohortlake.functions.tails import fisher_p
 
-    return fisher_tables(spark, d).withColumn("p", fisher_p(*[F.col(c).cast("double") for c in "abcd"]))
+    return fisher_tables(spark, d).withColumn("p", F.round(fisher_p(*[F.col(c).cast("double") for c in "abcd"]), 9))
 
 
 @query("singleton_batches", """, k as (select kernel, count(*) n from f group by 1) select f.pid, f.kernel from f join k using (kernel) where n >= 2""")
