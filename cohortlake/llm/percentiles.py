@@ -135,8 +135,15 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_percentiles(spark, sf_dir: str) -> DataFrame:
-    """Exact p10, p50, p90 of lesion volume per cohort and vessel, from one part per recorded year."""
-    les = table(spark, sf_dir, "lesions")
-    one = les.where("lesion_id is not null and cohort is not null and vessel is not null").groupBy("lesion_id").agg(F.max(F.struct("recorded_ts", "cohort", "vessel", "volume_mm3")).alias("r")).select("r.*")
-    parts = [one.where(cond).select("cohort", "vessel", F.col("volume_mm3").alias("value")) for cond in ("pmod(month(recorded_ts), 2) = 0", "pmod(month(recorded_ts), 2) = 1 or recorded_ts is null")]
-    return percentiles(parts, ["cohort", "vessel"], _VOLUME)
+    """Exact percentiles of lesion volume per cohort and vessel, and of focal burden per cohort (vessel ``ALL``).
+
+    Volumes come in a part per year of recording (lesions without a time in one of their own), the burden
+    in one more; what each part counts is added up.
+    """
+    les = table(spark, sf_dir, "lesions").where("lesion_id is not null")
+    one = les.groupBy("lesion_id").agg(F.max(F.struct("recorded_ts", "cohort", "vessel", "volume_mm3")).alias("r")).select("r.*")
+    one = Scratch(spark, "volumes").save(one.where("cohort is not null and vessel is not null").select(F.year("recorded_ts").alias("year"), "cohort", "vessel", F.col("volume_mm3").alias("value")), "volumes")
+    years = [r.year for r in one.select("year").distinct().orderBy("year").collect()]  # one row per calendar year
+    parts = [one.where(F.col("year").eqNullSafe(y)).drop("year") for y in years]
+    parts.append(focal_burden(table(spark, sf_dir, "features")).select("cohort", F.lit("ALL").alias("vessel"), "value"))
+    return percentiles(parts, ["cohort", "vessel"], _VOLUME | {"p25": 0.25, "p75": 0.75})

@@ -33,6 +33,8 @@ vals as (select cohort, vessel, v from b union all select cohort, vessel, v from
 n as (select cohort, vessel, q, p, count(*) n, count(*) filter (v <= p) le, count(*) filter (v >= p) ge from pub join vals using (cohort, vessel) group by all)
 select distinct cohort, vessel from n where le < (q - 0.08) * n - 1e-6 or ge < (1 - q - 0.08) * n - 1e-6""",
     "p6_percentiles": """
-select cohort, vessel, count(*) n, quantile_disc(v, 0.1) p10, quantile_disc(v, 0.5) p50, quantile_disc(v, 0.9) p90
-from (select distinct lesion_id, cohort, vessel, volume_mm3 v from lesions where cohort is not null and vessel is not null and volume_mm3 is not null and not isnan(volume_mm3)) group by 1, 2""",
+with f as (select pid, cohort, phenotype, agatston_total v, row_number() over (partition by pid order by scored_ts desc) r from features where pid is not null),
+x as (select distinct lesion_id, cohort, vessel, volume_mm3 v from lesions where lesion_id is not null and cohort is not null and vessel is not null and volume_mm3 is not null and not isnan(volume_mm3)
+  union all select null, cohort, 'ALL', v from f where r = 1 and phenotype = 'focal' and cohort is not null and v is not null and not isnan(v))
+select cohort, vessel, count(*) n, quantile_disc(v, 0.1) p10, quantile_disc(v, 0.25) p25, quantile_disc(v, 0.5) p50, quantile_disc(v, 0.75) p75, quantile_disc(v, 0.9) p90 from x group by 1, 2""",
 }
