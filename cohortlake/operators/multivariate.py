@@ -1,8 +1,7 @@
 """Components, clusters, stability, harmonisation and redundancy.
 
 Spark aggregates what grows with the rows (moments, counts, nearest distances); only matrices as large
-as the number of columns, batches or clusters reach the driver. Replicates of a bounded sample, whose
-bound is a parameter, run one per row of a range.
+as the number of columns, batches or clusters reach the driver. Replicates are fitted to whole tables.
 """
 
 from __future__ import annotations
@@ -54,60 +53,111 @@ def loadings_table(spark, columns: list[str], load: np.ndarray, share: np.ndarra
     return spark.createDataFrame(rows, "pc string, feature string, loading double, variance_share double")
 
 
-def sample_matrix(df: DataFrame, columns: list[str], key: str, most: int, seed: int = 42) -> np.ndarray:
-    """At most ``most`` complete rows, drawn by a hash of the key: the same rows on any cluster."""
-    d = df.na.drop(subset=[*columns, key]).orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).select(*columns)
-    return np.array([[float(v) for v in r] for r in d.collect()]).reshape(-1, len(columns))
-
-
-def hopkins(df: DataFrame, columns: list[str], key: str, sample: int = 200, seed: int = 42) -> DataFrame:
-    """Hopkins statistic: distances of sampled rows and of uniform points to their second nearest row.
-
-    The sample is bounded; its distances are measured to every row, partition by partition, and only
-    the two smallest per point leave a task. Under three rows null; no distances 0.5.
+def _two_nearest(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of each point to its two nearest rows; infinite where there are none."""
+    out = np.full((len(points), 2), np.inf)
+    for i in range(0, len(points) if len(rows) else 0, 256):
+        d2 = np.maximum(((points[i : i + 256, None, :] - rows[None, :1, :]) ** 2).sum(-1), 0) if len(rows) == 1 else None
+        if d2 is None:
+            part = points[i : i + 256]
+            d2 = (part**2).sum(1)[:, None] - 2 * part @ rows.T + (rows**2).sum(1)
+            near = np.argpartition(d2, 1, axis=1)[:, :2]
+            # the expanded square is rough beside zero, so the two found are measured again
+            d2 = ((part[:, None, :] - rows[near]) ** 2).sum(-1)
+        out[i : i + 256, : d2.shape[1]] = np.sort(np.sqrt(d2), axis=1)
+    return out
+
+
+def hopkins(df: DataFrame, columns: list[str], key: str, share: float = 0.1, least: int = 100, cells: int = 256, chunk: int = 20_000, seed: int = 42) -> DataFrame:
+    """Hopkins statistic: distances of a share of the rows, and of as many uniform points, to their second nearest row.
+
+    ``share`` of the rows are drawn by a hash of the key, ``least`` where that would be fewer. Rows lie in
+    cells about pivots (``cells`` of them, the square root of the rows if that is less); a point is first
+    measured in its own cell and then sent to the cells that can hold a nearer row, so distances are
+    exact. A cell is joined in chunks, so no task holds more than ``chunk`` rows and points. Pairs that
+    are measured grow with the square of the rows times ``share``. Under three rows null; no distances 0.5.
     """
     spark = df.sparkSession
-    d = df.na.drop(subset=columns)
-    real = sample_matrix(df, columns, key, sample, seed)
-    if len(real) < 3:
+    store = Scratch(spark, "hopkins")
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    d = store.save(df.na.drop(subset=[*columns, key]).select(F.xxhash64(F.lit(seed), key).alias("h"), x), "rows")
+    p = len(columns)
+    row = d.agg(F.count("*"), *[f(F.col("x")[i]) for f in (F.min, F.max) for i in range(p)]).first()
+    n = row[0]
+    if n < 3:
         return spark.createDataFrame([(None,)], "hopkins double")
-    low, high = (np.array(d.agg(*[f(c) for c in columns]).first(), dtype=float) for f in (F.min, F.max))
-    points = np.vstack([real, np.random.default_rng(seed).uniform(low, high, size=real.shape)])
+    low, high = np.array(row[1 : 1 + p], dtype=float), np.array(row[1 + p :], dtype=float)
+    drawn = max(share, min(1.0, least / n))
+    pivots = np.array([r.x for r in d.orderBy(F.xxhash64(F.lit(seed + 1), "h"), "h").limit(max(2, min(cells, math.isqrt(n)))).collect()])
+    between = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(-1))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.full((len(points), 2), np.inf)
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float)
-            for i in range(0, len(x), 2048):
-                dist = np.sqrt(((points[:, None, :] - x[None, i : i + 2048, :]) ** 2).sum(-1))
-                best = np.sort(np.concatenate([best, np.partition(dist, min(1, dist.shape[1] - 1), axis=1)[:, :2]], axis=1), axis=1)[:, :2]
-        yield pd.DataFrame({"i": np.repeat(np.arange(len(points)), 2), "d": best.ravel()})
-
-    two = d.select(*columns).mapInPandas(near, "i int, d double").groupBy("i").agg(F.slice(F.sort_array(F.collect_list("d")), 1, 2)[1].alias("d"))
-    s = two.agg(F.sum(F.when(F.col("i") < len(real), F.col("d"))).alias("w"), F.sum(F.when(F.col("i") >= len(real), F.col("d"))).alias("u"))
-    return s.select(F.when(F.col("u") + F.col("w") > 0, F.col("u") / F.nullif(F.col("u") + F.col("w"), F.lit(0.0))).otherwise(0.5).alias("hopkins"))
+    def to_pivots(q: np.ndarray) -> np.ndarray:
+        return np.sqrt(((q[:, None, :] - pivots[None]) ** 2).sum(-1))
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at : at + 2048]
+                dist = to_pivots(np.vstack(part["x"]))
+                yield part.assign(cell=dist.argmin(1).astype(np.int32), far=dist.min(1))
 
-def lloyd(x: np.ndarray, k: int, seed: int, starts: int = 4, steps: int = 50) -> np.ndarray:
-    """Labels of the best of several k-means runs on a small matrix."""
-    if k == 1 or len(x) <= k:
-        return np.zeros(len(x), dtype=int) if k == 1 else np.arange(len(x)) % k
-    rng, best, labels = np.random.default_rng(seed), np.inf, np.zeros(len(x), dtype=int)
-    for _ in range(starts):
-        centres = x[[rng.integers(len(x))]]
-        for _ in range(k - 1):
-            d2 = ((x[:, None] - centres[None]) ** 2).sum(-1).min(1)
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d2 / d2.sum() if d2.sum() > 0 else None)]])
-        for _ in range(steps):
-            lab = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
-            new = np.array([x[lab == j].mean(0) if (lab == j).any() else centres[j] for j in range(k)])
-            if np.allclose(new, centres):
-                break
-            centres = new
-        cost = ((x - centres[lab]) ** 2).sum()
-        if cost < best:
-            best, labels = cost, lab
-    return labels
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = pdf["h"].to_numpy(dtype=np.int64)
+            pick = _unit(h, seed) < drawn
+            if pick.any():
+                h, part = h[pick], pdf[pick]
+                box = np.column_stack([low[c] + _unit(h, seed + 1 + c) * (high[c] - low[c]) for c in range(p)])
+                yield pd.DataFrame({"h": np.r_[h, h], "real": np.r_[np.ones(len(h), bool), np.zeros(len(h), bool)], "x": [*part["x"], *box]})
+
+    rows = store.save(d.mapInPandas(place, "h long, x array<double>, cell int, far double"), "cells")
+    size, radius = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        size[r.cell], radius[r.cell] = r.n, r.far
+    # a probe has a number of its own: redelivered keys are probes of their own
+    own = d.mapInPandas(probe, "h long, real boolean, x array<double>").withColumn("i", F.monotonically_increasing_id())
+    probes = store.save(own.mapInPandas(place, "h long, real boolean, x array<double>, i long, cell int, far double").drop("h", "far"), "probes")
+
+    def measured(sent: DataFrame) -> DataFrame:
+        """(i, near): the two smallest distances of each probe to the rows of the cells it is sent to."""
+        asked = np.zeros(len(pivots), dtype=int)
+        for r in sent.groupBy("cell").count().collect():
+            asked[r["cell"]] = r["count"]
+        parts = spark.createDataFrame([(c, int(-(-size[c] // chunk)), int(-(-asked[c] // chunk))) for c in range(len(pivots)) if size[c] and asked[c]], "cell int, rows int, probes int")
+        spread = lambda t, mine, other, on: (
+            t.join(F.broadcast(parts), "cell").withColumn(mine, F.expr(f"cast(pmod(xxhash64({on}), {mine}) as int)")).withColumn(other, F.expr(f"explode(sequence(0, {other} - 1))"))
+        )
+        a = spread(sent.select("i", "x", "cell"), "probes", "rows", "i, 1").groupBy("cell", "rows", "probes")
+        b = spread(rows.select("h", "x", "cell"), "rows", "probes", "h, 2").groupBy("cell", "rows", "probes")
+
+        def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:
+                return pd.DataFrame({"i": [], "near": []})
+            return pd.DataFrame({"i": left["i"], "near": list(_two_nearest(np.vstack(left["x"]), np.vstack(right["x"])))})
+
+        t = a.cogroup(b).applyInPandas(near, "i long, near array<double>")
+        return t.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 2).alias("near"))
+
+    first = store.save(probes.join(measured(probes), "i"), "first")
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                mine, dist = part["cell"].to_numpy(), to_pivots(np.vstack(part["x"]))
+                most = np.minimum(np.vstack(part["near"])[:, 1], np.sort(dist, axis=1)[:, 1])
+                home = np.take_along_axis(dist, mine[:, None], 1)
+                plane = (dist**2 - home**2) / np.maximum(2 * between[mine], 1e-300)
+                reach = np.maximum(dist - radius, np.where(between[mine] > 0, plane, 0)) <= most[:, None] * (1 + 1e-9)
+                reach[np.arange(len(part)), mine] = False
+                at_row, cell = np.nonzero(reach & (size > 0))
+                yield pd.DataFrame({"i": part["i"].to_numpy()[at_row], "x": part["x"].to_numpy()[at_row], "cell": cell.astype(np.int32)})
+
+    sent = store.save(first.select("i", "x", "cell", "near").mapInPandas(send, "i long, x array<double>, cell int"), "sent")
+    both = first.select("i", "real", "near").join(measured(sent).withColumnRenamed("near", "more"), "i", "left")
+    both = both.select("real", F.sort_array(F.concat("near", F.coalesce("more", F.array().cast("array<double>"))))[1].alias("d"))
+    s = both.agg(F.sum(F.when(F.col("real"), F.col("d"))).alias("w"), F.sum(F.when(~F.col("real"), F.col("d"))).alias("u"))
+    return s.select(F.when(F.col("u") + F.col("w") > 0, F.col("u") / F.nullif(F.col("u") + F.col("w"), F.lit(0.0))).otherwise(0.5).alias("hopkins"))
 
 
 #: Levels of the grid on which columns are clustered: sums of whole numbers do not depend on partitions.
@@ -123,11 +173,18 @@ def _unit(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
 
 
+def _drawn(h: np.ndarray, seed: int, b: int) -> np.ndarray:
+    """Whether the subsample ``b`` holds the rows: four in five groups of them."""
+    groups = np.random.default_rng([seed, b]).permutation(20)[:16]
+    return np.isin((_unit(h, seed * 31 + 7) * 20).astype(int), groups)
+
+
 class Replicates:
     """k-means of replicates of a whole table, all fitted in the same passes over its rows.
 
     A replicate is ``all`` rows, ``boot`` (the rows that a bootstrap draws at least once, by a hash of
-    the key) or ``box`` (as many uniform points in the columns' ranges, made from the row hashes).
+    the key), ``sub`` (16 of 20 groups of rows, grouped by the hash) or ``box`` (as many uniform points in
+    the columns' ranges, made from the row hashes).
     A pass leaves sums per cluster; the driver has replicates x clusters x columns. Starts are drawn by
     k-means++ over all rows. The same on any number of partitions.
     """
@@ -155,7 +212,8 @@ class Replicates:
                     for kind, b in sets:
                         salt = (seed * 1_000_003 + b) * 64
                         q = own if kind != "box" else np.column_stack([np.rint(_unit(h, salt + c) * LEVELS) for c in range(p)])
-                        out += work((kind, b), h, q, _unit(h, salt + 63) < 1 - math.exp(-1) if kind == "boot" else np.ones(len(h), dtype=bool))
+                        kept = _unit(h, salt + 63) < 1 - math.exp(-1) if kind == "boot" else _drawn(h, seed, b) if kind == "sub" else np.ones(len(h), dtype=bool)
+                        out += work((kind, b), h, q, kept)
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
         return self.rows.mapInPandas(run, schema)
@@ -266,23 +324,57 @@ def cluster_stability(df: DataFrame, columns: list[str], key: str, k: int, repli
     return spark.createDataFrame(rows, schema)
 
 
-def consensus(df: DataFrame, columns: list[str], key: str, ks: tuple[int, ...] = (2, 3, 4), replicates: int = 30, most: int = 300, seed: int = 42) -> DataFrame:
-    """(k, n_pairs, pac): share of ambiguous pairs of a bounded sample over subsampled clusterings."""
-    spark = df.sparkSession
-    x = sample_matrix(df, columns, key, most, seed)
+def consensus(df: DataFrame, columns: list[str], key: str, ks: tuple[int, ...] = (2, 3, 4), replicates: int = 30, starts: int = 4, block: int = 1000, seed: int = 42) -> DataFrame:
+    """(k, n_pairs, pac): share of ambiguous pairs of all complete rows over subsampled clusterings.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in pdf["id"]:
-                k, b = ks[i % len(ks)], int(i // len(ks))
-                rows = np.sort(np.random.default_rng(seed * 100_000 + b).choice(len(x), math.ceil(0.8 * len(x)), replace=False))
-                yield pd.DataFrame({"k": k, "b": b, "i": rows, "label": lloyd(x[rows], k, seed + b)})
-
-    n = len(ks) * replicates if len(x) > 1 else 0
-    lab = spark.range(0, n, 1, min(max(n, 1), 64)).mapInPandas(run, "k int, b int, i int, label int")
-    other = lab.select("k", "b", F.col("i").alias("j"), F.col("label").alias("lj"))
-    pairs = lab.join(other, ["k", "b"]).where("i < j").groupBy("k", "i", "j").agg(F.avg((F.col("label") == F.col("lj")).cast("double")).alias("m"))
-    return pairs.groupBy("k").agg(F.count("*").alias("n_pairs"), F.avg(((F.col("m") > 0.1) & (F.col("m") < 0.9)).cast("double")).alias("pac"))
+    A row's signature is its label in each replicate that draws it. Rows of one signature agree with
+    the others alike, so pairs are counted between distinct signatures, weighted by their rows, in
+    blocks of ``block`` signatures; how many there are depends on where the replicates' borders differ,
+    not on the rows. A pair that no replicate draws together is not counted. Under two rows no result.
+    """
+    spark, m = df.sparkSession, Replicates(df, columns, key, seed)
+    schema = "k int, n_pairs decimal(38,0), pac double"
+    if m.n < 2:
+        return spark.createDataFrame([], schema)
+    runs = [(k, "sub", b) for k in ks for b in range(replicates)]
+    centres, near = dict(zip(runs, m.fit(runs, starts)[0])), m.nearest()
+
+    def sign(of, h, q, kept):
+        out, held = [], np.column_stack([_drawn(h, seed, b) for b in range(replicates)])
+        for k in ks:
+            lab = np.column_stack([near(q, centres[k, "sub", b]).argmin(1) for b in range(replicates)])
+            sig, n = np.unique(np.where(held, lab, 255).astype(np.uint8), axis=0, return_counts=True)
+            out += [(k, bytes(v), int(c)) for v, c in zip(sig, n)]
+        return out
+
+    store = Scratch(spark, "consensus")
+    t = store.save(m.scan([("all", 0)], sign, "k int, sig binary, n long").groupBy("k", "sig").agg(F.sum("n").alias("n")), "signatures")
+    most = t.groupBy("k").count().agg(F.max("count")).first()[0]
+    parts = -(-most // block)
+    mine = t.withColumn("b", F.expr(f"cast(pmod(xxhash64(sig), {parts}) as int)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    mine = mine.select("k", "sig", "n", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, i, j = (int(pdf[c].iloc[0]) for c in ("k", "i", "j"))
+        sides = []
+        for b in (i, j):
+            side = pdf[pdf["b"] == b]
+            lab = np.frombuffer(b"".join(side["sig"]), dtype=np.uint8).reshape(len(side), replicates)
+            hot = (lab[:, :, None] == np.arange(k)).reshape(len(side), replicates * k).astype(np.float32)
+            sides.append((hot, (lab != 255).astype(np.float32), side["n"].to_numpy(dtype=float)))
+        (a, wa, na), (b, wb, nb) = sides
+        together, same = wa @ wb.T, a @ b.T
+        rows = np.outer(na, nb)
+        if i == j:
+            # each pair once; within a signature the rows agree
+            rows = np.triu(rows, 1) + np.diag(na * (na - 1) / 2)
+        rows = np.where(together > 0, rows, 0)
+        share = same / np.maximum(together, 1)
+        return pd.DataFrame({"k": [k], "pairs": [int(rows.sum())], "vague": [int(rows[(share > 0.1) & (share < 0.9)].sum())]})
+
+    c = mine.groupBy("k", "i", "j").applyInPandas(count, "k int, pairs long, vague long")
+    total = lambda v: F.sum(F.col(v).cast("decimal(38,0)"))
+    return c.groupBy("k").agg(total("pairs").cast("decimal(38,0)").alias("n_pairs"), (total("vague").cast("double") / total("pairs").cast("double")).alias("pac"))
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42):

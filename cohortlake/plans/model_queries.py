@@ -67,7 +67,7 @@ def hennig_jaccard(spark, d):
 
 
 def consensus_pac(spark, d):
-    return M.consensus(lesion_matrix(spark, d), COLUMNS, "lesion_id")
+    return M.consensus(lesion_matrix(spark, d), COLUMNS, "lesion_id", replicates=15)
 
 
 def combat_kernels(spark, d):

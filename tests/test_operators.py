@@ -141,6 +141,31 @@ def test_hopkins_clustered_against_uniform(spark):
     assert high > 0.9 and 0.35 < flat < 0.65
 
 
+def test_hopkins_equals_brute_force_in_any_cells(spark):
+    x = np.random.default_rng(4).normal(size=(180, 3))
+    x = np.vstack([x, x[:20]])  # repeated rows
+    df, cols = matrix(spark, x), ["c0", "c1", "c2"]
+    h = np.array([r.h for r in df.select(F.xxhash64(F.lit(42), "id").alias("h")).collect()])
+    pick, low, high = M._unit(h, 42) < 0.5, x.min(0), x.max(0)
+    box = np.column_stack([low[c] + M._unit(h[pick], 43 + c) * (high[c] - low[c]) for c in range(3)])
+    second = lambda q: np.sort(np.sqrt(((q[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 1].sum()
+    u, w = second(box), second(x[pick])
+    for size in ({}, {"cells": 2}, {"cells": 40, "chunk": 7}):
+        assert abs(M.hopkins(df, cols, "id", least=100, **size).first().hopkins - u / (u + w)) < 1e-9
+    assert M.hopkins(df.limit(2), cols, "id").first().hopkins is None
+    assert M.hopkins(df.withColumns({c: F.lit(1.0) for c in cols}), cols, "id").first().hopkins == 0.5
+
+
+def test_consensus_counts_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    df = matrix(spark, np.vstack([rng.normal(size=(40, 2)) * 0.1 + c for c in ((0, 0), (5, 5), (0, 5))]))
+    got = {r.k: (int(r.n_pairs), r.pac) for r in M.consensus(df, ["c0", "c1"], "id", ks=(2, 3), replicates=10).collect()}
+    assert got[3] == (120 * 119 // 2, 0.0) and got[2][0] == got[3][0]
+    small = {r.k: (int(r.n_pairs), r.pac) for r in M.consensus(df.repartition(5), ["c0", "c1"], "id", ks=(2, 3), replicates=10, block=3).collect()}
+    assert small == got
+    assert M.consensus(df.limit(1), ["c0", "c1"], "id").count() == 0
+
+
 def test_gap_and_stability_find_three_clusters(spark):
     rng = np.random.default_rng(3)
     df = matrix(spark, np.vstack([rng.normal(size=(60, 2)) * 0.1 + c for c in ((0, 0), (5, 5), (0, 5))]))
