@@ -525,6 +525,33 @@ def caliper_match(cases: DataFrame, controls: DataFrame, by: list[str], key: str
     return taken if taken is not None else cand.select("case", "control")
 
 
+def null_agreement(ones: int, zeros: int, rate: float = 0.1, percentile: float = 5.0) -> float | None:
+    """The adjusted Rand index that two labels keep with all but ``percentile`` % of chances when ``rate`` of them flip.
+
+    Which rows flip matters only through how many of them have label 1, a hypergeometric number, so the
+    percentile comes from its probabilities and not from simulated rows. Null where nothing flips.
+    """
+    n = ones + zeros
+    m = math.floor(rate * n)
+    if m == 0 or n <= 1:
+        return None
+    mean = m * ones / n
+    wide = 12 * math.sqrt(max(mean * (1 - ones / n) * (n - m) / (n - 1), 1.0)) + 2
+    x = np.arange(max(0, m - zeros, math.floor(mean - wide)), min(m, ones, math.ceil(mean + wide)) + 1, dtype=float)
+    # probabilities up to a factor, from the ratios of neighbours
+    step = np.log((ones - x[:-1]) * (m - x[:-1])) - np.log((x[1:]) * (zeros - m + x[1:]))
+    log_p = np.concatenate([[0.0], np.cumsum(step)])
+    prob = np.exp(log_p - log_p.max())
+    pair = lambda v: v * (v - 1) / 2
+    both = pair(ones - x) + pair(x) + pair(m - x) + pair(zeros - m + x)
+    a, b = pair(ones) + pair(zeros), pair(ones - 2 * x + m) + pair(zeros - m + 2 * x)
+    by_chance = a * b / pair(n)
+    most = (a + b) / 2
+    ari = np.where(most == by_chance, 1.0, (both - by_chance) / np.where(most == by_chance, 1.0, most - by_chance))
+    order = np.argsort(ari)
+    return float(ari[order][min(np.searchsorted(np.cumsum(prob[order]) / prob.sum(), percentile / 100), len(x) - 1)])
+
+
 class Frozen:
     """Scaling, components to a share of the variance and a mixture of two, fitted on training rows; ``predict`` never fits again."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -126,3 +127,36 @@ def continuum(df: DataFrame, by: list[str], order: str, value: str, tolerance: f
 
 def normal_p(z: Column) -> Column:
     return tails.normal_p(z)
+
+
+def match_checks(cases: int, matched: DataFrame, halves: DataFrame, value: str, most_smd: float = 0.1, least_yield: float = 0.5) -> DataFrame:
+    """(test, n_cases, n_controls, effect, p) of matched rows (pid, side, value, agatston_lad, agatston_total, max_hu_global).
+
+    ``cases`` is how many there were before matching, ``halves`` has (pid, lower). An unbalanced or scarce
+    match has the row ``balance`` only, an empty one with a null effect.
+    """
+    spark = matched.sparkSession
+    schema = "test string, n_cases long, n_controls long, effect double, p double"
+    n = {r["side"]: r["count"] for r in matched.groupBy("side").count().collect()}
+    na, nb = n.get("case", 0), n.get("control", 0)
+    gap = T.standardised_difference(matched.withColumn("_one", F.lit(1)), ["_one"], F.col("side") == "case", value).first()
+    smd = gap.smd if gap else None
+    share = na / cases if cases else 0.0
+    balance = spark.createDataFrame([("balance", na, nb, smd, share)], schema)
+    if smd is None or abs(smd) >= most_smd or share < least_yield:
+        return balance
+    tests = matched.withColumns({"lad_share": F.coalesce("agatston_lad", F.lit(0.0)) / (F.greatest("agatston_total", F.lit(0.0)) + 1e-6), "max_hu": F.col("max_hu_global")})
+    ranks = T.with_normal_p(T.rank_contrast(T.long_form(tests, ["side"], ["lad_share", "max_hu"]), ["feature"], "side", "case", "control", "value"))
+    above = F.when(F.col("z") > 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2)
+    ranks = ranks.select(F.col("feature").alias("test"), F.col("n_a").alias("n_cases"), F.col("n_b").alias("n_controls"), F.col("cliffs_delta").alias("effect"), above.alias("p"))
+    side = lambda s, low: F.count_if((F.col("side") == s) & (F.col("lower") == low))
+    t = halves.join(matched.select("pid", "side"), "pid").agg(side("case", True).alias("a"), side("case", False).alias("b"), side("control", True).alias("c"), side("control", False).alias("d")).first()
+    x, y = t.a + t.b, t.c + t.d
+    halves_row = ("lower_half", x, y, None, None)
+    if x >= 5 and y >= 5:
+        spread = float(x) * y * (t.a + t.c) * (t.b + t.d)
+        off = max(abs(float(t.a) * t.d - float(t.b) * t.c) - (x + y) / 2, 0.0)
+        # a 2 x 2 table has one degree of freedom: chi is a normal deviate
+        p = tails.normal_two_sided(math.sqrt((x + y) * off * off / spread)) if spread else 1.0
+        halves_row = ("lower_half", x, y, t.a / x - t.c / y, p)
+    return balance.unionByName(ranks).unionByName(spark.createDataFrame([halves_row], schema))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import multivariate as M
 from cohortlake.operators import statistics as T
+from cohortlake.operators import verdicts as V
 from cohortlake.operators.windows import average_rank
 from cohortlake.session import Scratch, blocked_cumsum
 from cohortlake.sources import cohort as C
@@ -105,6 +106,32 @@ def caliper_match(spark, d):
     return M.caliper_match(f.where("phenotype = 'focal'"), f.where("phenotype = 'diffuse'"), ["kernel"], "pid", "burden", 0.2 * sd, 3, Scratch(spark, "match"), drawn=True)
 
 
+def match_followup(spark, d):
+    """(test, n_cases, n_controls, effect, p): what is left between matched focal cases and their diffuse controls.
+
+    ``balance`` has the share of matched cases as p and the standardised difference of burden as effect.
+    A difference of 0.1 or more, or under half of the cases matched, ends it there. Otherwise the share of
+    the LAD and the largest intensity are contrasted by rank (one-sided p), and the share of regions in
+    the lower half of each LAD by a 2 x 2 table, null with under five regions on a side.
+    """
+    s = Scratch(spark, "followup")
+    f = C.features(spark, d).where("agatston_total is not null").select("pid", "kernel", "phenotype", "max_hu_global", "agatston_lad", "agatston_total", F.log1p("agatston_total").alias("burden"))
+    f = s.save(f, "burden")
+    sd = f.agg(F.stddev_samp("burden")).first()[0] or 1.0
+    pairs = s.save(M.caliper_match(f.where("phenotype = 'focal'"), f.where("phenotype = 'diffuse'"), ["kernel"], "pid", "burden", 0.2 * sd, 3, s, drawn=True), "pairs")
+    side = lambda c, name: pairs.select(F.col(c).alias("pid")).distinct().withColumn("side", F.lit(name))
+    m = s.save(f.join(side("case", "case").unionByName(side("control", "control")), "pid"), "matched")
+    return V.match_checks(f.where("phenotype = 'focal'").count(), m, lad_halves(spark, d), "burden")
+
+
+def lad_halves(spark, d):
+    """(pid, lower): regions of the LAD, and whether they lie in the lower half of the patient's LAD."""
+    from cohortlake.operators.windows import relative_position
+
+    r = C.rois(spark, d).where("territory = 'LAD' and z_mm is not null").select("pid", "roi_id", "z_mm")
+    return relative_position(r, ["pid"], "z_mm").select("pid", (F.col("relative") < 0.5).alias("lower"))
+
+
 def folds(spark, d, k: int = 10, blocks: int = 64):
     """(pid, kernel, fold): stratified by kernel in a hashed order; the order runs in blocks."""
     m = C.manifest(spark, d).select("pid", "kernel").withColumn("draw", F.xxhash64(F.lit(42), "pid"))
@@ -122,7 +149,10 @@ def _raw_lesions(spark, d):
 
 
 def leave_k_out(spark, d, k: int = 5):
-    """Per kernel-stratified fold: agreement of labels from scaling, components and mixture fitted without the fold with those fitted on all rows; and their median."""
+    """Agreement, per kernel-stratified fold, of labels from scaling, components and mixture fitted without the fold with those fitted on all rows.
+
+    A fold passes at the agreement that a tenth of flipped labels would keep (``M.null_agreement``); fold -1 has the medians.
+    """
     s = Scratch(spark, "folds")
     x = s.save(_raw_lesions(spark, d).join(folds(spark, d, k).select("pid", "fold"), "pid"), "rows")
     full = s.save(M.Frozen(x, RAW).predict(x).select("lesion_id", "fold", F.col("label").alias("a")), "full")
@@ -131,9 +161,12 @@ def leave_k_out(spark, d, k: int = 5):
         held = M.Frozen(x.where(F.col("fold") != i), RAW).predict(x.where(F.col("fold") == i)).select("lesion_id", F.col("label").alias("b"))
         t = T.adjusted_rand(full.where(F.col("fold") == i).join(held, "lesion_id"), ["fold"], "a", "b")
         out = t if out is None else out.unionByName(t)
-    out = s.save(out.withColumn("passes", F.col("ari") >= 0.8), "agreement")
-    whole = out.agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), F.median("ari").alias("ari"))  # of k rows
-    return out.select("fold", "n", "ari", "passes").unionByName(whole.withColumn("passes", F.col("ari") >= 0.8))
+    out = s.save(out, "agreement")
+    count = full.groupBy("fold").agg(F.count_if("a = 1").alias("ones"), F.count_if("a = 0").alias("zeros")).collect()  # k rows
+    least = spark.createDataFrame([(r.fold, M.null_agreement(r.ones, r.zeros)) for r in count], "fold int, threshold double")
+    out = out.join(least, "fold").select("fold", "n", "ari", "threshold")
+    whole = out.agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), F.median("ari").alias("ari"), F.median("threshold").alias("threshold"))  # of k rows
+    return out.unionByName(whole).withColumn("passes", F.coalesce(F.col("ari") >= F.col("threshold"), F.lit(False)))
 
 
 def holdout_report(spark, d):
@@ -171,7 +204,7 @@ def contrast_with_p(spark, d):
     return rounded(benjamini_hochberg(c, ["cohort"], "p", "feature"), z=5)
 
 
-QUERIES = {f.__name__: f for f in (pca_scores, pca_loadings, kmeans_labels, gaussian_labels, hopkins, gap_statistic, gap_selected_k, hennig_jaccard, consensus_pac, combat_kernels, yeo_johnson_fit, rank_fallback, redundancy_representatives, caliper_match, folds, leave_k_out, holdout_report, holdout_projection, top_loadings, contrast_with_p)}
+QUERIES = {f.__name__: f for f in (pca_scores, pca_loadings, kmeans_labels, gaussian_labels, hopkins, gap_statistic, gap_selected_k, hennig_jaccard, consensus_pac, combat_kernels, yeo_johnson_fit, rank_fallback, redundancy_representatives, caliper_match, match_followup, folds, leave_k_out, holdout_report, holdout_projection, top_loadings, contrast_with_p)}
 
 SQL = {
     "rank_fallback": "with" + C.SQL_TABLES + """select lesion_id, (rank() over (order by volume_mm3) + (count(*) over (partition by volume_mm3) - 1) / 2) / count(*) over () ecdf from l where volume_mm3 is not null""",

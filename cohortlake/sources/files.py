@@ -131,6 +131,23 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, replaced as a whole; ``read_csv`` with the same schema gives the rows back."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per row, nested columns and null fields kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_spacing(df: DataFrame, path: str) -> None:
+    """Side files of spacing (pid, spacing), one folder per pid; anything but three positive numbers is an error."""
+    ok = F.coalesce((F.size("spacing") == 3) & F.forall("spacing", lambda x: x > 0), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("bad spacing of "), F.coalesce("pid", F.lit("?")))).cast("array<double>")
+    df.select("pid", F.to_json(F.struct(F.when(ok, F.col("spacing")).otherwise(bad).alias("spacing"))).alias("value")).write.mode("overwrite").partitionBy("pid").text(path)
+
+
 def missing_keys(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What a resumed run still has to do."""
     return expected.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti")

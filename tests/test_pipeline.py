@@ -138,3 +138,36 @@ def test_matching_in_drawn_order_takes_turns_in_few_rounds(spark):
         for _, k in near:
             del free[k]
     assert got == want and s.count < 40
+
+
+def test_null_agreement_equals_simulated_flips():
+    rng = np.random.default_rng(3)
+    for ones, zeros in ((30, 70), (5, 95), (400, 500)):
+        ref = np.r_[np.ones(ones, int), np.zeros(zeros, int)]
+        n, pair, got = ones + zeros, lambda v: v * (v - 1) / 2, []
+        for _ in range(4000):
+            other = ref.copy()
+            flip = rng.choice(n, n // 10, replace=False)
+            other[flip] = 1 - other[flip]
+            cells = np.bincount(ref * 2 + other, minlength=4)
+            a, b = pair(np.bincount(ref)).sum(), pair(np.bincount(other)).sum()
+            by_chance = a * b / pair(n)
+            got.append((pair(cells).sum() - by_chance) / ((a + b) / 2 - by_chance))
+        assert M.null_agreement(ones, zeros) == pytest.approx(np.percentile(got, 5), abs=0.02)
+    assert M.null_agreement(4, 5) is None and M.null_agreement(0, 0) is None
+    assert M.null_agreement(0, 50) is not None and M.null_agreement(50, 0) is not None
+
+
+def test_match_checks_stop_or_go_on(spark):
+    schema = "pid string, side string, burden double, agatston_lad double, agatston_total double, max_hu_global double"
+    rows = [(f"a{i}", "case", float(i), 8.0, 10.0, 500.0 + i) for i in range(20)] + [(f"b{i}", "control", float(i), 2.0, 10.0, 300.0 + i) for i in range(20)]
+    m = spark.createDataFrame(rows, schema)
+    halves = spark.createDataFrame([(f"{s}{i}", (i % 4 > 0) == (s == "a")) for s in "ab" for i in range(20)], "pid string, lower boolean")
+    got = {r.test: r for r in V.match_checks(25, m, halves, "burden").collect()}
+    assert set(got) == {"balance", "lad_share", "max_hu", "lower_half"}
+    assert got["balance"].p == 0.8 and got["balance"].effect == 0 and got["lad_share"].effect == 1 and got["max_hu"].p < 1e-6
+    assert got["lower_half"].effect == pytest.approx(0.5) and got["lower_half"].p == pytest.approx(0.00444, abs=1e-4)
+    assert [r.test for r in V.match_checks(100, m, halves, "burden").collect()] == ["balance"]  # too few
+    assert [r.test for r in V.match_checks(25, m.withColumn("burden", F.when(F.col("side") == "case", F.col("burden") + 9).otherwise(F.col("burden"))), halves, "burden").collect()] == ["balance"]
+    assert V.match_checks(25, m, halves.limit(0), "burden").where("test = 'lower_half'").first().p is None
+    assert V.match_checks(0, m.limit(0), halves, "burden").first().effect is None

@@ -124,3 +124,17 @@ def test_stream_equals_table(spark, tmp_path, sf):
     q.awaitTermination(120)
     want = {tuple(r) for r in E.windowed(spark.read.parquet(str(src))).select("begin", "event_type", "n").collect()}
     assert {tuple(r) for r in spark.table("w").select("begin", "event_type", "n").collect()} == want
+
+
+def test_sinks_give_rows_back(spark, tmp_path):
+    df = spark.createDataFrame([("1", 2.5, [1, 2]), (None, None, None), ("007", 0.0, [])], "pid string, v double, a array<int>")
+    S.write_json(df, str(tmp_path / "j"))
+    assert sorted(map(str, spark.read.schema(df.schema).json(str(tmp_path / "j")).collect())) == sorted(map(str, df.collect()))
+    S.write_csv(df.drop("a"), str(tmp_path / "c"))
+    assert sorted(map(str, S.read_csv(spark, str(tmp_path / "c"), "pid string, v double").collect())) == sorted(map(str, df.drop("a").collect()))
+    S.write_json(df.limit(0), str(tmp_path / "e"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "e")).count() == 0
+    S.write_spacing(spark.createDataFrame([("p1", [0.5, 0.5, 3.0])], "pid string, spacing array<double>"), str(tmp_path / "s"))
+    assert S.read_spacing(spark, str(tmp_path / "s" / "pid=p1")).first().spacing == [0.5, 0.5, 3.0]
+    with pytest.raises(Exception, match="bad spacing"):
+        S.write_spacing(spark.createDataFrame([("p1", [0.5, -1.0])], "pid string, spacing array<double>"), str(tmp_path / "b"))
