@@ -162,7 +162,7 @@ def leave_k_out(spark, d, k: int = 5):
         t = T.adjusted_rand(full.where(F.col("fold") == i).join(held, "lesion_id"), ["fold"], "a", "b")
         out = t if out is None else out.unionByName(t)
     out = s.save(out, "agreement")
-    count = full.groupBy("fold").agg(F.count_if("a = 1").alias("ones"), F.count_if("a = 0").alias("zeros")).collect()  # k rows
+    count = full.groupBy("fold").agg(F.count_if(F.col("a") == 1).alias("ones"), F.count_if(F.col("a") == 0).alias("zeros")).collect()  # k rows
     least = spark.createDataFrame([(r.fold, M.null_agreement(r.ones, r.zeros)) for r in count], "fold int, threshold double")
     out = out.join(least, "fold").select("fold", "n", "ari", "threshold")
     whole = out.agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), F.median("ari").alias("ari"), F.median("threshold").alias("threshold"))  # of k rows
