@@ -105,10 +105,11 @@ def _children(parents: DataFrame, nodes: DataFrame, key: str, labels: tuple[str,
     return parents.join(kids, (parents[key] == kids["_k"]) & (parents["node"] == kids["_p"])).drop("_k", "_p")
 
 
-def slices(nodes: DataFrame, key: str) -> DataFrame:
+def slices(nodes: DataFrame, key: str, scratch: Scratch | None = None) -> DataFrame:
     """(key, node, image_index): each slice object of a slice list, map or lone slice.
 
-    image_index is the slice's own scalar, else the label under which a map holds it, else null.
+    image_index is the slice's own scalar, else the label under which a map holds it, else null. With a
+    scratch folder the slices are written once and read by the two joins that need them.
     """
     lists = nodes.where(F.col("label").isin(*SLICE_LISTS) & F.col("kind").isin("array", "object")).select(key, "node", "kind")
     inner = _children(lists, nodes, key)
@@ -117,17 +118,18 @@ def slices(nodes: DataFrame, key: str) -> DataFrame:
     lone = inner.where((F.col("kind") == "object") & F.col("c_label").isin(*own)).select(key, "node").distinct().withColumn("label", F.lit(None).cast("string"))
     many = inner.where("c_kind = 'object'").join(lone.select(key, "node"), [key, "node"], "left_anti").select(key, F.col("c_node").alias("node"), F.col("c_label").alias("label"))
     found = many.unionByName(lone)
+    found = scratch.save(found, "slices") if scratch else found
     named = _children(found.select(key, "node"), nodes, key, IMAGE_INDEX).where("c_kind = 'scalar'").groupBy(key, "node").agg(F.min("c_scalar").alias("own"))
     return found.join(named, [key, "node"], "left").select(key, "node", F.coalesce(F.expr("try_cast(try_cast(trim(own) as double) as int)"), F.expr("try_cast(trim(label) as int)")).alias("image_index"))
 
 
-def regions(nodes: DataFrame, key: str) -> DataFrame:
+def regions(nodes: DataFrame, key: str, scratch: Scratch | None = None) -> DataFrame:
     """(key, slice_node, image_index, node, roi_idx, name, area_cm2): region objects in a slice's region list.
 
     Lists elsewhere (deleted regions, audits) are not region lists of a slice. roi_idx is the place in
     the list, 0 for a lone object; entries that are not objects are skipped but keep their place.
     """
-    parts = slices(nodes, key)
+    parts = slices(nodes, key, scratch)
     lists = _children(parts, nodes, key, REGION_LISTS).where("c_kind in ('array', 'object')").select(key, F.col("node").alias("slice_node"), "image_index", F.col("c_node").alias("node"), F.col("c_kind").alias("kind"))
     inside = _children(lists.where("kind = 'array'"), nodes, key).where("c_kind = 'object'").select(key, "slice_node", "image_index", F.col("c_node").alias("node"), F.col("c_ordinal").alias("roi_idx"))
     lone = lists.where("kind = 'object'").select(key, "slice_node", "image_index", "node", F.lit(0).alias("roi_idx"))
@@ -137,18 +139,21 @@ def regions(nodes: DataFrame, key: str) -> DataFrame:
     return found.join(wide, [key, "node"], "left")
 
 
-def points(nodes: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+def points(nodes: DataFrame, regions: DataFrame, key: str, scratch: Scratch | None = None) -> DataFrame:
     """(key, region_node, space, ordinal, x, y, z): outline points of regions, space ``px`` or ``mm``.
 
     Outlines are members of the region or of its ``geometry``. A point is an entry of a list (numbers,
     an object of x, y, z, or text such as "(a, b)"), a place in parallel lists xs, ys, zs, a piece of
     text between semicolons, or a lone object of x, y, z. Null entries and blank pieces are not points.
+    With a scratch folder outlines and their entries are written once and read by the shapes of points.
     """
+    keep = scratch.save if scratch else lambda t, name: t
     base = regions.select(key, "node")
     geometry = _children(base, nodes, key, ("geometry",)).where("c_kind = 'object'").select(key, F.col("node").alias("region_node"), F.col("c_node").alias("node"))
     holders = base.select(key, F.col("node").alias("region_node"), "node").unionByName(geometry)
     outline = _children(holders, nodes, key, PIXELS + MILLIMETRES).where("c_kind <> 'null'")
     outline = outline.select(key, "region_node", F.when(F.col("c_label").isin(*PIXELS), "px").otherwise("mm").alias("space"), F.col("c_node").alias("node"), F.col("c_kind").alias("kind"), F.col("c_scalar").alias("scalar"))
+    outline = keep(outline, "outlines")
     ids = [key, "region_node", "space"]
 
     def coords(text: Column) -> Column:
@@ -159,6 +164,7 @@ def points(nodes: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     texts = pieces.withColumn("n", coords(F.col("t"))).select(*ids, "ordinal", num("n", 0).alias("x"), num("n", 1).alias("y"), num("n", 2).alias("z"))
 
     entry = _children(outline.where("kind in ('array', 'object')").drop("scalar"), nodes, key).where("c_kind <> 'null'")
+    entry = keep(entry.select(*ids, "kind", "c_node", "c_label", "c_ordinal", "c_kind", "c_scalar"), "entries")
     listed = entry.where("kind = 'array'").select(*ids, F.col("c_ordinal").alias("ordinal"), F.col("c_node").alias("node"), F.col("c_kind").alias("kind"), F.col("c_scalar").alias("scalar"))
     flat = listed.where("kind = 'scalar'").withColumn("n", coords(F.col("scalar"))).select(*ids, "ordinal", num("n", 0).alias("x"), num("n", 1).alias("y"), num("n", 2).alias("z"))
     deep = listed.where("kind <> 'scalar'")
@@ -183,8 +189,8 @@ def region_table(records: DataFrame, key: str = "record_id", payload: str = "pay
     """Regions with their point counts, points, and the adjacency table behind both."""
     scratch = Scratch(records.sparkSession, "nested")
     nodes = shred(records, key, payload, scratch)
-    found = scratch.save(regions(nodes, key), "regions")
-    pts = scratch.save(points(nodes, found, key), "points")
+    found = scratch.save(regions(nodes, key, scratch), "regions")
+    pts = scratch.save(points(nodes, found, key, scratch), "points")
     counts = pts.groupBy(key, F.col("region_node").alias("node")).agg(F.count_if(F.col("space") == "px").alias("n_px"), F.count_if(F.col("space") == "mm").alias("n_mm"))
     wide = found.join(counts, [key, "node"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("n_px", "n_mm")})
     return wide, pts, nodes
