@@ -7,13 +7,16 @@ as the number of columns, batches or clusters reach the driver. Replicates are f
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cohortlake.functions.scoring import yeo_johnson
 from cohortlake.operators.windows import average_rank
@@ -494,35 +497,109 @@ def redundancy(df: DataFrame, columns: list[str], key: str, least_gap: float = 0
     return df.sparkSession.createDataFrame([(c, names[x], c == first[x]) for c, x in zip(columns, label)], "feature string, cluster int, representative boolean")
 
 
+class _Free:
+    """Free controls of a group by value: controls of one value are taken in the order of their keys, and a value without any is stepped over."""
+
+    def __init__(self, values: np.ndarray, keys: pa.Array):
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+        self.keys, n = keys, len(first)
+        self.values = array("d", np.r_[-np.inf, values[first], np.inf])
+        self.next, self.end = array("q", np.r_[0, first, 0]), array("q", np.r_[0, first[1:], [len(values)] * (n > 0), 0])
+        self.down, self.up = array("q", range(n + 2)), array("q", range(n + 2))
+
+    @staticmethod
+    def _step(to: array, i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    def _tied(self, x: float, d: float, low: int, high: int) -> int:
+        """Of the values that round to one distance the one whose next key is the smallest."""
+        at = []
+        while abs(x - self.values[low]) == d:
+            at.append(low)
+            low = self._step(self.down, low - 1)
+        while abs(self.values[high] - x) == d:
+            at.append(high)
+            high = self._step(self.up, high + 1)
+        return min(at, key=lambda i: self.keys[self.next[i]].as_py())
+
+    def take(self, x: float, at: int, caliper: float, ratio: int) -> list[int]:
+        """Numbers of the nearest controls of a case with value ``x``, which lies at or below the value numbered ``at``."""
+        v, down, up, got = self.values, self.down, self.up, []
+        low, high = self._step(down, at - 1), self._step(up, at)
+        while len(got) < ratio:
+            below, above = x - v[low], v[high] - x
+            d = min(below, above)
+            if d > caliper or d == math.inf:
+                break
+            if below == above or (below == d and x - v[low - 1] == d) or (above == d and v[high + 1] - x == d):
+                i = self._tied(x, d, low, high)
+            else:
+                i = low if below == d else high
+            got.append(self.next[i])
+            self.next[i] += 1
+            if self.next[i] == self.end[i]:
+                down[i], up[i] = i - 1, i + 1
+                low, high = self._step(down, low), self._step(up, high)
+        return got
+
+
+def _in_turn(caliper: float, ratio: int):
+    """(case, control) of rows sorted by group, controls before cases, controls by value and key, cases by turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, controls, free = None, [], None
+        for batch in batches:
+            rows = zip(batch.column("group").to_pylist(), batch.column("side").to_pylist())
+            at = 0
+            for (g, side), same in groupby(rows):
+                part = batch.slice(at, sum(1 for _ in same))
+                at += len(part)
+                if g != group:
+                    group, controls, free = g, [], None
+                values = part.column("value").to_numpy()
+                if side == 0:
+                    controls.append((values, part.column("control")))
+                elif controls:
+                    if free is None:
+                        free = _Free(np.concatenate([v for v, _ in controls]), pa.concat_arrays([k for _, k in controls]))
+                        controls = [(free.keys, None)]
+                    got = [free.take(x, i, caliper, ratio) for x, i in zip(values.tolist(), np.searchsorted(free.values, values).tolist())]
+                    turn = np.repeat(np.arange(len(got)), [len(x) for x in got])
+                    if len(turn):
+                        yield pa.RecordBatch.from_arrays([part.column("case").take(pa.array(turn)), free.keys.take(pa.array(list(chain(*got))))], ["case", "control"])
+
+    return run
+
+
 def caliper_match(cases: DataFrame, controls: DataFrame, by: list[str], key: str, value: str, caliper: float, ratio: int, scratch, drawn: bool = False) -> DataFrame:
-    """(case, control): each case in turn takes its up to ``ratio`` nearest free controls.
+    """(case, control): each case in turn takes its up to ``ratio`` nearest free controls, ties by key.
 
-    Turns are in ascending order of the key or, with ``drawn``, in the order of a hash of it, in which
-    the number of rounds grows with the logarithm of the rows and not with the rows.
+    Turns are in ascending order of the key or, with ``drawn``, in the order of a hash of it. Keys are unique.
 
-    Candidates come from an equi-join on caliper-wide cells. A round settles every case that is the
-    first open case among the candidates of each control it would take, which is what taking turns
-    would give, and removes what is taken; rounds go on until no candidate is left.
+    A group is matched in one task, as any turn may depend on all before it. The task reads the rows sorted: it
+    holds the group's controls, some 40 bytes and a key each, and takes the cases one after another,
+    so work grows with the rows and not with the pairs within the caliper.
     """
     if caliper <= 0:
         raise ValueError("the caliper must be positive")
-    cell = F.floor(F.col(value) / caliper).cast("long")
-    a = cases.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("case"), F.col(value).alias("va"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = controls.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("control"), F.col(value).alias("vb"), cell.alias("cell"))
-    d = F.abs(F.col("va") - F.col("vb"))
-    cand = scratch.save(a.join(b, [*by, "cell"]).where(d <= caliper).select("case", "control", d.alias("d")), "candidates")
-    taken = None
-    while not cand.isEmpty():
-        turn = (lambda c: F.struct(F.xxhash64(F.lit(42), c), F.col(c))) if drawn else F.col
-        first = cand.groupBy("control").agg(F.min_by("case", turn("case")).alias("first"))
-        nearest = cand.withColumn("i", F.row_number().over(Window.partitionBy("case").orderBy("d", "control"))).where(F.col("i") <= ratio)
-        ready = nearest.join(first, "control").groupBy("case").agg(F.bool_and(F.col("first") == F.col("case")).alias("ok")).where("ok").select("case")
-        got = scratch.save(nearest.join(ready, "case", "left_semi").select("case", "control"), "taken")
-        taken = got if taken is None else taken.unionByName(got)
-        rest = cand.join(got.select("case").distinct(), "case", "left_anti").join(got.select("control").distinct(), "control", "left_anti")
-        old, cand = cand, scratch.save(rest, "candidates")
-        scratch.drop(old)
-    return taken if taken is not None else cand.select("case", "control")
+    ok = (F.abs(value) < float("inf")) & F.col(key).isNotNull()
+    for c in by:
+        ok = ok & F.col(c).isNotNull()
+
+    def rows(df: DataFrame, side: int, name: str, other: str, other_type) -> DataFrame:
+        turn = F.xxhash64(F.lit(42), key) if drawn and side else F.lit(0).cast("long")
+        # 0.0 is added as -0.0 is the same value
+        return df.where(ok).select(F.to_json(F.struct(*by)).alias("group") if by else F.lit("").alias("group"), F.lit(side).alias("side"), (F.col(value).cast("double") + 0.0).alias("value"), turn.alias("turn"), F.col(key).alias(name), F.lit(None).cast(other_type).alias(other))
+
+    kinds = cases.schema[key].dataType, controls.schema[key].dataType
+    both = rows(controls, 0, "control", "case", kinds[0]).unionByName(rows(cases, 1, "case", "control", kinds[1]))
+    order = ["group", "side", F.when(F.col("side") == 0, F.col("value")), "turn", "control", "case"]
+    both = both.repartition("group").sortWithinPartitions(*order).select("group", "side", "value", "case", "control")
+    schema = StructType([StructField("case", kinds[0]), StructField("control", kinds[1])])
+    return scratch.save(both.mapInArrow(_in_turn(caliper, ratio), schema), "pairs")
 
 
 def null_agreement(ones: int, zeros: int, rate: float = 0.1, percentile: float = 5.0) -> float | None:

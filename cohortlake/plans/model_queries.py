@@ -118,7 +118,7 @@ def match_followup(spark, d):
     f = C.features(spark, d).where("agatston_total is not null").select("pid", "kernel", "phenotype", "max_hu_global", "agatston_lad", "agatston_total", F.log1p("agatston_total").alias("burden"))
     f = s.save(f, "burden")
     sd = f.agg(F.stddev_samp("burden")).first()[0] or 1.0
-    pairs = s.save(M.caliper_match(f.where("phenotype = 'focal'"), f.where("phenotype = 'diffuse'"), ["kernel"], "pid", "burden", 0.2 * sd, 3, s, drawn=True), "pairs")
+    pairs = M.caliper_match(f.where("phenotype = 'focal'"), f.where("phenotype = 'diffuse'"), ["kernel"], "pid", "burden", 0.2 * sd, 3, s, drawn=True)
     side = lambda c, name: pairs.select(F.col(c).alias("pid")).distinct().withColumn("side", F.lit(name))
     m = s.save(f.join(side("case", "case").unionByName(side("control", "control")), "pid"), "matched")
     return V.match_checks(f.where("phenotype = 'focal'").count(), m, lad_halves(spark, d), "burden")

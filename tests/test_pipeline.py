@@ -140,6 +140,31 @@ def test_matching_in_drawn_order_takes_turns_in_few_rounds(spark):
     assert got == want and s.count < 40
 
 
+@pytest.mark.parametrize("drawn", [True, False])
+def test_matching_of_a_dense_group_with_ties_takes_one_pass(spark, drawn):
+    from cohortlake.session import Scratch
+
+    rng = np.random.default_rng(8)
+    level = rng.uniform(0, 1, 40).round(2)  # of many rows each, some as far from a case on either side
+    cases = [(g, f"a{g}{i}", float(rng.choice(level))) for g in "kl" for i in range(300)]
+    controls = [(g, f"b{g}{i}", float(rng.choice(level))) for g in "kl" for i in range(700)] + [("k", f"c{i}", v) for i, v in enumerate((-0.0, 0.0, 1e-17, 5e-18))]
+    odd = [("k", None, 0.5), ("k", "n", None), ("k", "nan", float("nan")), ("k", "inf", float("inf")), (None, "g", 0.5), ("m", "alone", 0.5)]
+    mk = lambda rows: spark.createDataFrame(rows, "g string, pid string, v double")
+    s = Scratch(spark, "t")
+    got = M.caliper_match(mk(cases + odd), mk(controls + odd[:5]), ["g"], "pid", "v", 0.15, 3, s, drawn=drawn)
+    want = set()
+    at = {(g, k): v for g, k, v in cases}
+    free = {(g, k): v for g, k, v in controls}
+    order = mk(cases).orderBy(*([F.xxhash64(F.lit(42), "pid")] if drawn else []), "pid")
+    for r in order.collect():
+        near = sorted((abs(v - at[r.g, r.pid]), k) for (g, k), v in free.items() if g == r.g and abs(v - at[r.g, r.pid]) <= 0.15)[:3]
+        want |= {(r.pid, k) for _, k in near}
+        for _, k in near:
+            del free[r.g, k]
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) and s.count == 1
+    assert M.caliper_match(mk(cases[:3]).limit(0), mk(controls), ["g"], "pid", "v", 0.1, 2, s).count() == 0
+
+
 def test_null_agreement_equals_simulated_flips():
     rng = np.random.default_rng(3)
     for ones, zeros in ((30, 70), (5, 95), (400, 500)):
