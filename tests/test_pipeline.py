@@ -165,6 +165,18 @@ def test_matching_of_a_dense_group_with_ties_takes_one_pass(spark, drawn):
     assert M.caliper_match(mk(cases[:3]).limit(0), mk(controls), ["g"], "pid", "v", 0.1, 2, s).count() == 0
 
 
+def test_followup_of_the_match_takes_few_jobs(spark):
+    from cohortlake.plans import registry
+
+    spark.sparkContext.setJobGroup("followup", "t")
+    try:
+        row = registry.QUERIES["match_followup"](spark, "/root/testdata/sf0.01").where("test = 'balance'").first()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("followup"))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert (row.n_cases, row.n_controls) == (133, 361) and jobs < 100, jobs
+
+
 def test_null_agreement_equals_simulated_flips():
     rng = np.random.default_rng(3)
     for ones, zeros in ((30, 70), (5, 95), (400, 500)):
