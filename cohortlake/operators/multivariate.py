@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
-from itertools import chain, combinations, groupby
+from itertools import chain, combinations, count, groupby
 
 import numpy as np
 import pandas as pd
@@ -56,29 +56,108 @@ def loadings_table(spark, columns: list[str], load: np.ndarray, share: np.ndarra
     return spark.createDataFrame(rows, "pc string, feature string, loading double, variance_share double")
 
 
-def _two_nearest(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Distances of each point to its two nearest rows; infinite where there are none."""
+def _products(points: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return points @ part
+
+
+def _two_nearest(points: np.ndarray, rows: np.ndarray, most: np.ndarray, leaf: int = 256) -> np.ndarray:
+    """Distances of each point to its two nearest rows, infinite where there are none up to ``most``.
+
+    The rows are halved down to leaves; a point is measured in one leaf near it, then in all whose box may hold a nearer row.
+    """
     out = np.full((len(points), 2), np.inf)
-    for i in range(0, len(points) if len(rows) else 0, 256):
-        d2 = np.maximum(((points[i : i + 256, None, :] - rows[None, :1, :]) ** 2).sum(-1), 0) if len(rows) == 1 else None
-        if d2 is None:
-            part = points[i : i + 256]
-            d2 = (part**2).sum(1)[:, None] - 2 * part @ rows.T + (rows**2).sum(1)
-            near = np.argpartition(d2, 1, axis=1)[:, :2]
-            # the expanded square is rough beside zero, so the two found are measured again
-            d2 = ((part[:, None, :] - rows[near]) ** 2).sum(-1)
-        out[i : i + 256, : d2.shape[1]] = np.sort(np.sqrt(d2), axis=1)
-    return out
-
-
-def hopkins(df: DataFrame, columns: list[str], key: str, share: float = 0.1, least: int = 100, cells: int = 256, chunk: int = 20_000, seed: int = 42) -> DataFrame:
+    if not len(points) or not len(rows):
+        return out
+    middle = rows.mean(0)
+    p, x, order = points - middle, rows - middle, np.arange(len(rows))
+    sq, wide = (p**2).sum(1), np.c_[p, np.ones(len(p))]
+    slack = 1e-13 * (sq + (x**2).sum(1).max()) + 1e-300  # the expanded square is rough beside zero
+    best, where = np.tile((most**2 * (1 + 1e-9) + slack)[:, None], 2), np.full((len(p), 2), -1)
+
+    def split(a: int, b: int) -> tuple:
+        part = x[order[a:b]]
+        low, high = part.min(0), part.max(0)
+        if b - a <= leaf:
+            return low, high, a, np.vstack([-2 * part.T, (part**2).sum(1)])
+        half = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(part[:, part.var(0).argmax()], half)]
+        return low, high, split(a, a + half), split(a + half, b)
+
+    def bound(node: tuple, who: np.ndarray) -> np.ndarray:
+        g = np.maximum(np.maximum(node[0] - p[who], p[who] - node[1]), 0)
+        return np.einsum("ij,ij->i", g, g)
+
+    def measure(start: int, part: np.ndarray, who: np.ndarray) -> None:
+        for at in range(0, len(who), 1024):
+            w = who[at : at + 1024]
+            d = _products(wide[w], part)
+            ok = d.min(1) + sq[w] < best[w, 1]
+            w, d = w[ok], d[ok]
+            near = np.argpartition(d, 1, axis=1)[:, :2] if d.shape[1] > 2 else np.tile(np.arange(d.shape[1]), (len(w), 1))
+            both = np.c_[best[w], np.take_along_axis(d, near, 1) + sq[w][:, None]]
+            first = np.argsort(both, axis=1, kind="stable")[:, :2]
+            best[w], where[w] = np.take_along_axis(both, first, 1), np.take_along_axis(np.c_[where[w], order[start + near]], first, 1)
+
+    def walk(node: tuple, who: np.ndarray, one: bool) -> None:
+        who = who[bound(node, who) < best[who, 1] + slack[who]]
+        if not len(who):
+            return
+        if not isinstance(node[2], tuple):
+            measure(node[2], node[3], who)
+        elif one:
+            left = bound(node[2], who) <= bound(node[3], who)
+            walk(node[2], who[left], True)
+            walk(node[3], who[~left], True)
+        else:
+            walk(node[2], who, False)
+            walk(node[3], who, False)
+
+    root, everyone = split(0, len(x)), np.arange(len(p))
+    walk(root, everyone, True)
+    best[:] = (best[:, 1] * (1 + 1e-9) + slack)[:, None]
+    where[:] = -1
+    walk(root, everyone, False)
+    for k in range(2):
+        got = np.flatnonzero(where[:, k] >= 0)
+        out[got, k] = np.sqrt(((points[got] - rows[where[got, k]]) ** 2).sum(1))
+    return np.sort(out, axis=1)
+
+
+def _cuts(sample: np.ndarray, cells: int) -> tuple | int:
+    """Nested (column, value, below, above), down to the numbers 0, 1, ... of at most ``cells`` cells that share the sample evenly."""
+    number = count()
+
+    def cut(x: np.ndarray, k: int) -> tuple | int:
+        if k < 2 or len(x) < 2 or not (spread := x.var(0)).max() > 0:
+            return next(number)
+        c = int(spread.argmax())
+        at = np.sort(x[:, c])[len(x) * (k // 2) // k]
+        low = x[:, c] < at
+        return (c, float(at), cut(x[low], k // 2), cut(x[~low], k - k // 2)) if low.any() else next(number)
+
+    return cut(sample, cells)
+
+
+def _cell_of(x: np.ndarray, cuts: tuple | int) -> np.ndarray:
+    cell, stack = np.zeros(len(x), dtype=np.int32), [(cuts, np.arange(len(x)))]
+    while stack:
+        node, who = stack.pop()
+        if not isinstance(node, tuple):
+            cell[who] = node
+        elif len(who):
+            low = x[who, node[0]] < node[1]
+            stack += [(node[2], who[low]), (node[3], who[~low])]
+    return cell
+
+
+def hopkins(df: DataFrame, columns: list[str], key: str, share: float = 0.1, least: int = 100, cells: int = 4096, chunk: int = 65_536, seed: int = 42) -> DataFrame:
     """Hopkins statistic: distances of a share of the rows, and of as many uniform points, to their second nearest row.
 
     ``share`` of the rows are drawn by a hash of the key, ``least`` where that would be fewer. Rows lie in
-    cells about pivots (``cells`` of them, the square root of the rows if that is less); a point is first
-    measured in its own cell and then sent to the cells that can hold a nearer row, so distances are
-    exact. A cell is joined in chunks, so no task holds more than ``chunk`` rows and points. Pairs that
-    are measured grow with the square of the rows times ``share``. Under three rows null; no distances 0.5.
+    cells of about ``chunk`` rows (at most ``cells`` cells, smaller ones in small tables), cut at medians of
+    a sample; a point is first measured in the cell whose box is nearest and then sent to the cells whose
+    box can hold a nearer row, so distances are exact. A cell is joined in chunks, so no task holds more
+    than ``chunk`` rows and points, which it searches by nested boxes. Under three rows null; no distances 0.5.
     """
     spark = df.sparkSession
     store = Scratch(spark, "hopkins")
@@ -91,18 +170,25 @@ def hopkins(df: DataFrame, columns: list[str], key: str, share: float = 0.1, lea
         return spark.createDataFrame([(None,)], "hopkins double")
     low, high = np.array(row[1 : 1 + p], dtype=float), np.array(row[1 + p :], dtype=float)
     drawn = max(share, min(1.0, least / n))
-    pivots = np.array([r.x for r in d.orderBy(F.xxhash64(F.lit(seed + 1), "h"), "h").limit(max(2, min(cells, math.isqrt(n)))).collect()])
-    between = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(-1))
-
-    def to_pivots(q: np.ndarray) -> np.ndarray:
-        return np.sqrt(((q[:, None, :] - pivots[None]) ** 2).sum(-1))
+    parts = max(1, min(cells, max(math.isqrt(n) // 32, n // chunk)))
+    cuts = _cuts(np.array([r.x for r in d.orderBy(F.xxhash64(F.lit(seed + 1), "h"), "h").limit(max(4096, 32 * parts)).collect()]), parts)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
-                dist = to_pivots(np.vstack(part["x"]))
-                yield part.assign(cell=dist.argmin(1).astype(np.int32), far=dist.min(1))
+            if len(pdf):
+                yield pdf.assign(cell=_cell_of(np.vstack(pdf["x"]), cuts))
+
+    rows = store.save(d.mapInPandas(place, "h long, x array<double>, cell int"), "cells")
+    box = sorted(rows.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("x")[i]) for f in (F.min, F.max) for i in range(p)]).collect())
+    name, size = np.array([r["cell"] for r in box], dtype=np.int32), {r["cell"]: r["n"] for r in box}
+    lows, highs = np.array([r[2 : 2 + p] for r in box], dtype=float), np.array([r[2 + p :] for r in box], dtype=float)
+
+    def to_boxes(q: np.ndarray) -> np.ndarray:
+        """Squares of the distances of points to the boxes."""
+        out = np.zeros((len(q), len(name)))
+        for c in range(p):
+            out += np.maximum(np.maximum(lows[None, :, c] - q[:, None, c], q[:, None, c] - highs[None, :, c]), 0) ** 2
+        return out
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,53 +196,46 @@ def hopkins(df: DataFrame, columns: list[str], key: str, share: float = 0.1, lea
             pick = _unit(h, seed) < drawn
             if pick.any():
                 h, part = h[pick], pdf[pick]
-                box = np.column_stack([low[c] + _unit(h, seed + 1 + c) * (high[c] - low[c]) for c in range(p)])
-                yield pd.DataFrame({"h": np.r_[h, h], "real": np.r_[np.ones(len(h), bool), np.zeros(len(h), bool)], "x": [*part["x"], *box]})
+                uniform = np.column_stack([low[c] + _unit(h, seed + 1 + c) * (high[c] - low[c]) for c in range(p)])
+                both = [*part["x"], *uniform]
+                cell = np.concatenate([name[to_boxes(np.vstack(both[at : at + 512])).argmin(1)] for at in range(0, len(both), 512)])
+                yield pd.DataFrame({"real": np.r_[np.ones(len(h), bool), np.zeros(len(h), bool)], "x": both, "cell": cell})
 
-    rows = store.save(d.mapInPandas(place, "h long, x array<double>, cell int, far double"), "cells")
-    size, radius = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
-    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
-        size[r.cell], radius[r.cell] = r.n, r.far
     # a probe has a number of its own: redelivered keys are probes of their own
-    own = d.mapInPandas(probe, "h long, real boolean, x array<double>").withColumn("i", F.monotonically_increasing_id())
-    probes = store.save(own.mapInPandas(place, "h long, real boolean, x array<double>, i long, cell int, far double").drop("h", "far"), "probes")
+    own = d.mapInPandas(probe, "real boolean, x array<double>, cell int").withColumn("i", F.monotonically_increasing_id())
+    probes = store.save(own.withColumn("most", F.lit(float("inf"))), "probes")
 
     def measured(sent: DataFrame) -> DataFrame:
-        """(i, near): the two smallest distances of each probe to the rows of the cells it is sent to."""
-        asked = np.zeros(len(pivots), dtype=int)
-        for r in sent.groupBy("cell").count().collect():
-            asked[r["cell"]] = r["count"]
-        parts = spark.createDataFrame([(c, int(-(-size[c] // chunk)), int(-(-asked[c] // chunk))) for c in range(len(pivots)) if size[c] and asked[c]], "cell int, rows int, probes int")
+        """(i, near): the two smallest distances, up to ``most``, of each probe to the rows of the cells it is sent to."""
+        asked = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
+        parts = spark.createDataFrame([(c, -(-size[c] // chunk), -(-k // chunk)) for c, k in asked.items()], "cell int, rows int, probes int")
         spread = lambda t, mine, other, on: (
             t.join(F.broadcast(parts), "cell").withColumn(mine, F.expr(f"cast(pmod(xxhash64({on}), {mine}) as int)")).withColumn(other, F.expr(f"explode(sequence(0, {other} - 1))"))
         )
-        a = spread(sent.select("i", "x", "cell"), "probes", "rows", "i, 1").groupBy("cell", "rows", "probes")
+        a = spread(sent.select("i", "x", "most", "cell"), "probes", "rows", "i, 1").groupBy("cell", "rows", "probes")
         b = spread(rows.select("h", "x", "cell"), "rows", "probes", "h, 2").groupBy("cell", "rows", "probes")
 
         def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"i": [], "near": []})
-            return pd.DataFrame({"i": left["i"], "near": list(_two_nearest(np.vstack(left["x"]), np.vstack(right["x"])))})
+            return pd.DataFrame({"i": left["i"], "near": list(_two_nearest(np.vstack(left["x"]), np.vstack(right["x"]), left["most"].to_numpy()))})
 
         t = a.cogroup(b).applyInPandas(near, "i long, near array<double>")
         return t.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 2).alias("near"))
 
-    first = store.save(probes.join(measured(probes), "i"), "first")
+    # a chunk of a cell may be empty by hash, but not all of them
+    first = store.save(probes.drop("most").join(measured(probes), "i").withColumn("most", F.col("near")[1]), "first")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                mine, dist = part["cell"].to_numpy(), to_pivots(np.vstack(part["x"]))
-                most = np.minimum(np.vstack(part["near"])[:, 1], np.sort(dist, axis=1)[:, 1])
-                home = np.take_along_axis(dist, mine[:, None], 1)
-                plane = (dist**2 - home**2) / np.maximum(2 * between[mine], 1e-300)
-                reach = np.maximum(dist - radius, np.where(between[mine] > 0, plane, 0)) <= most[:, None] * (1 + 1e-9)
-                reach[np.arange(len(part)), mine] = False
-                at_row, cell = np.nonzero(reach & (size > 0))
-                yield pd.DataFrame({"i": part["i"].to_numpy()[at_row], "x": part["x"].to_numpy()[at_row], "cell": cell.astype(np.int32)})
-
-    sent = store.save(first.select("i", "x", "cell", "near").mapInPandas(send, "i long, x array<double>, cell int"), "sent")
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                most = part["most"].to_numpy()
+                reach = (to_boxes(np.vstack(part["x"])) <= (most**2 * (1 + 1e-9))[:, None]) & (name[None] != part["cell"].to_numpy()[:, None])
+                at_row, cell = np.nonzero(reach)
+                yield pd.DataFrame({"i": part["i"].to_numpy()[at_row], "x": part["x"].to_numpy()[at_row], "cell": name[cell], "most": most[at_row]})
+
+    sent = store.save(first.select("i", "x", "cell", "most").mapInPandas(send, "i long, x array<double>, cell int, most double"), "sent")
     both = first.select("i", "real", "near").join(measured(sent).withColumnRenamed("near", "more"), "i", "left")
     both = both.select("real", F.sort_array(F.concat("near", F.coalesce("more", F.array().cast("array<double>"))))[1].alias("d"))
     s = both.agg(F.sum(F.when(F.col("real"), F.col("d"))).alias("w"), F.sum(F.when(~F.col("real"), F.col("d"))).alias("u"))

@@ -156,6 +156,26 @@ def test_hopkins_equals_brute_force_in_any_cells(spark):
     assert M.hopkins(df.withColumns({c: F.lit(1.0) for c in cols}), cols, "id").first().hopkins == 0.5
 
 
+def test_two_nearest_measures_few_rows_and_misses_none(monkeypatch):
+    rng = np.random.default_rng(12)
+    centre = rng.uniform(-3, 3, (40, 6))
+    rows = 1e4 + centre[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 6)) * 0.05
+    rows[:600] = rows[0]  # copies fill leaves
+    points = np.vstack([rows[rng.integers(0, 20_000, 150)], rows[:3], 1e4 + rng.uniform(-4, 4, (150, 6))])
+    want = np.array([np.sort(np.sqrt(((rows - q) ** 2).sum(1)))[:2] for q in points])
+    got = M._two_nearest(points, rows, np.full(len(points), np.inf))
+    assert np.abs(got - want).max() < 1e-6
+    most = want[:, 1] * np.where(np.arange(len(points)) % 2, 1.0, 0.5)
+    some = M._two_nearest(points, rows, most, leaf=16)
+    inside = want <= most[:, None]
+    assert np.abs(some[inside] - want[inside]).max() < 1e-6 and (some >= want - 1e-6).all()
+    assert np.isinf(M._two_nearest(points[:2], rows[:1], np.full(2, np.inf))[:, 1]).all()
+    measured = []
+    monkeypatch.setattr(M, "_products", lambda a, b: measured.append(len(a) * b.shape[1]) or a @ b)
+    M._two_nearest(points, rows, np.full(len(points), np.inf))
+    assert sum(measured) < len(points) * len(rows) / 5
+
+
 def test_consensus_counts_all_pairs(spark):
     rng = np.random.default_rng(5)
     df = matrix(spark, np.vstack([rng.normal(size=(40, 2)) * 0.1 + c for c in ((0, 0), (5, 5), (0, 5))]))
