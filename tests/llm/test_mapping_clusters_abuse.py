@@ -85,6 +85,24 @@ def test_neighbour_graph_recall(spark):
     assert np.mean([len(got[i] & set(true[i].tolist())) / 8 for i in range(len(x))]) > 0.9
 
 
+def test_neighbours_meet_across_many_cells(spark, monkeypatch):
+    """One broad cloud in nine dimensions, so that borders of cells part most points from some neighbour; then a few points."""
+    monkeypatch.setattr("cohortlake.llm.clusters.CELL", 512)
+    x = np.random.default_rng(7).normal(size=(5000, 9))
+    pts = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    near = {r.v: r.near for r in neighbour_graph(pts, Scratch(spark, "t")).collect()}
+    x = x.astype(np.float32).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    true = np.argpartition(d, 8, axis=1)[:, :8]
+    assert np.mean([len({e.u for e in near[i]} & set(true[i].tolist())) / 8 for i in range(len(x))]) > 0.97
+    for i, got in near.items():
+        far = [e.d for e in got]
+        assert far == sorted(far) and len({e.u for e in got}) == 8 and np.allclose(far, d[i, [e.u for e in got]])
+    few = neighbour_graph(pts.where("id < 3"), Scratch(spark, "t")).collect()
+    assert {r.v: sorted(e.u for e in r.near) for r in few} == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
+
+
 def test_communities_in_rounds_equal_those_in_one_task(spark):
     rng = np.random.default_rng(2)
     e = [(int(min(a, b) + 50 * c), int(max(a, b) + 50 * c), 1.0) for c in range(4) for a, b in rng.integers(0, 50, (300, 2)) if a != b]
